@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import distinctive, fusion, leakage, packing, repetition
+from skeinwork.llm import distinctive, fusion, leakage, nearcopies, packing, repetition
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.session import stage
@@ -158,6 +158,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": nearcopies.p1_found, "p1_groups": nearcopies.p1_groups,
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_packing": p8_packing,
     "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_repetition": p10_repetition,
 }
