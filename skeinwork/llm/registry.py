@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import distinctive, fusion, leakage, nearcopies, packing, repetition
+from skeinwork.llm import bodies, coherence, distinctive, fusion, leakage, nearcopies, packing, repetition
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.session import stage
@@ -16,6 +16,40 @@ TOP_PARTS = 5
 MIN_COUNT, MIN_URLS, MAX_URLS, TOP_TERMS = 6, 2, 12, 10
 
 
+# -- 2: keyword strings and link lists
+
+
+def p2_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every crawled page with its words outside of sentences and the mean mutual information of its neighbouring words."""
+    out = coherence.incoherence(table(spark, root, "crawl"), "url_hash", "page")
+    return out.select(F.col("id").alias("url_hash"), "n_words", "loose_words", F.round("loose_share", 6).alias("loose_share"), F.round("mean_pmi", 6).alias("mean_pmi"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Crawled pages of which more than half of the own words are not in sentences."""
+    out = coherence.incoherence(table(spark, root, "crawl"), "url_hash", "page")
+    return out.where(F.col("loose_share") > coherence.SPAM_SHARE).select(F.col("id").alias("url_hash"))
+
+
+# -- 5: the main body
+
+
+def _wanted_pages(spark: SparkSession, root: str) -> DataFrame:
+    jobs = table(spark, root, "extract_jobs").select("url_hash").where("url_hash IS NOT NULL").distinct()
+    return table(spark, root, "page_cache").select("url_hash", "page").where("page IS NOT NULL").join(small(jobs), "url_hash", "left_semi")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Line numbers of the article in every wanted page."""
+    return bodies.body_lines(_wanted_pages(spark, root), "url_hash", "page").select(F.col("id").alias("url_hash"), "line_no").distinct()
+
+
+def p5_crawl_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """The text of the main body of every crawled page."""
+    pages = table(spark, root, "crawl").select("url_hash", "page").where("page IS NOT NULL")
+    return bodies.body_text(pages, "url_hash", "page").select(F.col("id").alias("url_hash"), "body").distinct()
+
+
 # -- 4: one ranking from several scores
 
 
@@ -158,7 +192,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": nearcopies.p1_found, "p1_groups": nearcopies.p1_groups,
+    "p1_found": nearcopies.p1_found, "p1_groups": nearcopies.p1_groups, "p2_found": p2_found, "p2_scores": p2_scores, "p5_found": p5_found, "p5_crawl_bodies": p5_crawl_bodies,
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_packing": p8_packing,
     "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_repetition": p10_repetition,
 }
