@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.pagetree import HEADINGS, Page, article_segments
+from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
 from skeinwork.llm.words import WORD, scramble
 from skeinwork.operators.joins import small
 from skeinwork.session import stage
@@ -49,7 +49,7 @@ def page_content(source: str) -> list[tuple[list[str], int]]:
         s = page.segments[i]
         tag = page.tags[s.node]
         text = s.text.lower()
-        words = WORD.findall(DIGITS.sub("0", text))
+        words = WORD.findall(text if FIGURES.isdisjoint(text) else DIGITS.sub("0", text))
         if words:
             out.append((words, HEADING if tag in HEADINGS else ITEM if tag in ("li", "dd", "dt") else CELL if tag in ("td", "th") else PLAIN))
     return out
@@ -142,28 +142,28 @@ def no_counts() -> Counts:
 def corpus_counts(contents: DataFrame) -> Counts:
     """Counts of all pages: each task adds up its own tables, the tables are added up chunk by chunk, and their fixed number
     of entries (2^WORD_BITS + 2 * 2^PAIR_BITS) comes to the driver."""
-    schema = "part int, data binary"
+    schema = "part int, width int, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         own = no_counts()
         for b in batches:
             count(unpack(*(b.column(i).to_pylist() for i in range(3))), own)
         if own.n:
+            # most entries of a task's tables are small: four bytes each, unless one needs more
             flat = np.concatenate([own.words, own.pairs, own.pages])
+            if flat.max() < 2**32:
+                flat = flat.astype(np.uint32)
             chunks = [zlib.compress(x.tobytes(), 1) for x in np.array_split(flat, CHUNKS)]
-            chunks.append(zlib.compress(np.array([own.n], np.int64).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS + 1), pa.int32()), pa.array(chunks, pa.binary())], names=["part", "data"])
-
-    def add(key: tuple, group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for part in group:
-            for x in part["data"]:
-                y = np.frombuffer(zlib.decompress(x), np.int64)
-                total = y.copy() if total is None else total + y
-        yield pd.DataFrame({"part": [key[0]], "data": [zlib.compress(total.tobytes(), 1)]})
+            chunks.append(zlib.compress(np.array([own.n], flat.dtype).tobytes(), 1))
+            wide = pa.array([flat.itemsize] * (CHUNKS + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS + 1), pa.int32()), wide, pa.array(chunks, pa.binary())], names=["part", "width", "data"])
 
     def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return next(add(key, iter([part])))
+        total = None
+        for width, x in zip(part["width"], part["data"], strict=True):
+            y = np.frombuffer(zlib.decompress(x), np.uint32 if width == 4 else np.int64)
+            total = y.astype(np.int64) if total is None else total + y
+        return pd.DataFrame({"part": [key[0]], "width": [8], "data": [zlib.compress(total.tobytes(), 1)]})
 
     parts = contents.select("words", "sizes", "kinds").mapInArrow(run, schema).groupBy("part").applyInPandas(added, schema)
     got = {r.part: np.frombuffer(zlib.decompress(r.data), np.int64) for r in parts.collect()}

@@ -31,6 +31,24 @@ PALE = re.compile(r"""color\s*[=:]\s*["']?\s*(?:#f[a-f0-9]f[a-f0-9]f[a-f0-9]\b|#
 MIN_TEXT, HEADLINE = 25, 20.0
 
 
+def _hides(attrs: str) -> bool:
+    """Whether attributes keep an element from being seen."""
+    low = attrs.lower()
+    return ("style" in low or "hidden" in low or "color" in low) and bool(HIDING.search(attrs) or PALE.search(attrs))
+
+
+def _link_kind(attrs: str) -> str:
+    """``inner`` or ``outer`` for the target of a link, empty without one."""
+    at = attrs.find('href="')
+    if at >= 0:
+        to = attrs[at + 6 : at + 16].lstrip()
+    elif h := HREF.search(attrs):
+        to = (h.group(1) or h.group(2) or h.group(3) or "").strip()
+    else:
+        return ""
+    return "outer" if to.startswith(("http://", "https://", "//")) else "inner"
+
+
 @dataclass(slots=True)
 class Segment:
     """Text of one paragraph, heading, list item or line. ``inner`` / ``outer``: characters in links to the page's own site /
@@ -121,13 +139,12 @@ class Page:
             if tag not in BLOCKS:
                 if tag == "a":
                     link = ""
-                    if not closing and (h := HREF.search(m.group("attrs"))):
-                        to = (h.group(1) or h.group(2) or h.group(3) or "").strip()
-                        link = "outer" if to.startswith(("http://", "https://", "//")) else "inner"
+                    if not closing:
+                        link = _link_kind(m.group("attrs"))
                 if closing:
                     if veils and veils[-1] == tag:
                         veils.pop()
-                elif (attrs := m.group("attrs")) and (HIDING.search(attrs) or PALE.search(attrs)):
+                elif (attrs := m.group("attrs")) and _hides(attrs):
                     veils.append(tag)
                 if tag in ("td", "span", "option"):
                     add(" ")
@@ -153,7 +170,7 @@ class Page:
             self.parents.append(up)
             self.holders.append(False)
             attrs = m.group("attrs")
-            self.hidden.append(self.hidden[up] or bool(attrs and (HIDING.search(attrs) or PALE.search(attrs))))
+            self.hidden.append(self.hidden[up] or bool(attrs and _hides(attrs)))
             stack.append(len(self.tags) - 1)
         if at < len(source):
             feed(source[at:])
@@ -249,6 +266,7 @@ DATE = re.compile(rf"\b\d{{1,2}}\.? (?:{MONTHS})\.?,? \d{{4}}\b|\b(?:{MONTHS})\.
 BYLINE = re.compile(r"^(?:posted|published|updated|last updated|last modified|filed|written|by|from|reported|reading time)\b|\b(?:staff writer|correspondent|editor|reading time|min(?:ute)? read|in brief)\b|\bdesk\b", re.I)
 SHARE = frozenset("share shares this tweet retweet pin it post mail email e-mail print copy link like save for later page article send whatsapp facebook twitter linkedin reddit pinterest telegram to a friend on via".split())
 SHARE_VERBS = frozenset("share tweet pin print email mail like save".split())
+FIGURES = frozenset("0123456789")
 COMMENTS = re.compile(r"^(?:\d+|no|view all|show|all|leave a|add a|post a|write a) (?:reader |user )?(?:comments?|replies|reply|responses?)\b|\bjoin the (?:discussion|conversation|debate)\b", re.I)
 PROMOTION = re.compile(
     r"^advertisements?\b|^(?:sponsored|promoted|promotion|advertorial)\b|\bunsubscribe\b|\bnewsletters?\b.*\b(?:sign up|subscribe|inbox|every|stories|weekly|daily)\b|\b(?:sign up|subscribe|register)\b.*\b(?:newsletter|updates|alerts)\b"
@@ -276,7 +294,7 @@ def furniture(text: str) -> bool:
     if len(text) <= 140:
         words = lower.split()
         if len(words) <= 14:
-            dated = ("reading time" in lower) or (any(map(str.isdigit, lower)) and DATE.search(text))
+            dated = ("reading time" in lower) or (not FIGURES.isdisjoint(lower) and DATE.search(text))
             if dated and (BYLINE.search(text) or len(words) <= 6 and len(DATE.sub("", text).split()) <= 1):
                 return True
             if len(words) <= 12:
