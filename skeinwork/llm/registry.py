@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.llm import bodies, coherence, distinctive, fusion, leakage, nearcopies, packing, repetition
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.operators.unpack import POSTING, unpack_values
+from skeinwork.plans import sql
 from skeinwork.session import stage
 from skeinwork.sources.tables import normal_word, table, trimmed
 
@@ -196,4 +197,31 @@ QUERIES = {
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_packing": p8_packing,
     "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_repetition": p10_repetition,
 }
-SQL: dict[str, str] = {}
+
+_CANDIDATES = f"""t AS (SELECT DISTINCT {sql.normal_word()} AS word FROM query_terms WHERE {sql.normal_word()} IS NOT NULL),
+    c AS (SELECT word, url, max(coalesce(cnt, 0)) AS n FROM ({sql.postings(1)}) WHERE word IN (SELECT word FROM t) GROUP BY word, url),
+    s AS (SELECT url, computed_at, TRY_CAST(regexp_replace(current_score, '{sql.AROUND}', '', 'g') AS DOUBLE) AS score FROM pageranks WHERE url IS NOT NULL
+      AND regexp_full_match(regexp_replace(current_score, '{sql.AROUND}', '', 'g'), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')),
+    r AS (SELECT url, max_by(score, struct_pack(a := computed_at, b := score)) AS score FROM s WHERE isfinite(score) GROUP BY url),
+    x AS (SELECT c.word, c.url, rank() OVER (PARTITION BY word ORDER BY score DESC) AS rank_rank, rank() OVER (PARTITION BY word ORDER BY n DESC) AS rank_count, count(*) OVER (PARTITION BY word) AS n_items
+      FROM c JOIN r USING (url)),
+    y AS (SELECT *, least(rank_rank, rank_count) AS median_rank, (rank_rank + rank_count) / 2 AS mean_rank FROM x)"""
+
+_WORDS = f"""u AS (SELECT word, url, max(CASE WHEN field = 1 THEN coalesce(cnt, 0) END) AS f1, max(CASE WHEN field = 3 THEN coalesce(cnt, 0) END) AS f3
+    FROM ({sql.postings(1)} UNION ALL {sql.postings(3)}) WHERE word IS NOT NULL GROUP BY word, url)"""
+
+_TOKENS = "len(regexp_extract_all(text, '[A-Za-z]+|[0-9]{1,3}|[^A-Za-z0-9 \\t\\r\\n]'))"
+
+_RUNS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, len(ws) AS n, generate_subscripts(ws, 1) AS p, ws FROM w WHERE len(ws) >= 6),
+    k AS (SELECT doc_id, n, p, hash(ws[p : p + 5]) AS h FROM g WHERE p + 5 <= n),
+    d AS (SELECT doc_id, n, p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY p) AS o FROM k) WHERE o > 1),
+    c AS (SELECT doc_id, n, least(6, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 6)) AS gain FROM d)"""
+
+SQL = {
+    "p4_found": f"WITH {_CANDIDATES} SELECT word, url FROM y WHERE (rank_rank - 1) * {TOP_PARTS} <= n_items AND (rank_count - 1) * {TOP_PARTS} <= n_items",
+    "p4_ranking": f"WITH {_CANDIDATES} SELECT word, url, row_number() OVER (PARTITION BY word ORDER BY median_rank, mean_rank, url) AS position, median_rank, mean_rank, rank_rank, rank_count, n_items FROM y",
+    "p7_found": f"WITH {_WORDS}, n AS (SELECT word, count(*) AS n FROM u GROUP BY word) SELECT url, word FROM u JOIN n USING (word) WHERE f3 >= {MIN_COUNT} AND n BETWEEN {MIN_URLS} AND {MAX_URLS}",
+    "p8_found": f"SELECT spec_id, doc_id FROM (SELECT doc_id, {_TOKENS} AS n FROM documents WHERE text IS NOT NULL) JOIN pack_specs ON n > capacity",
+    "p10_found": f"WITH {_RUNS} SELECT doc_id FROM c GROUP BY doc_id, n HAVING sum(gain) * 10 >= n * 3",
+}
