@@ -13,7 +13,7 @@ from skeinwork.session import stage
 BITS, SALTS = 8, 16
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _ordered_bits(v):
     """Doubles as integers of the same order; -0.0 equals 0.0 and NaN is the largest, as in SQL."""
     import numpy as np
@@ -24,7 +24,7 @@ def _ordered_bits(v):
     return pd.Series(np.where(b < 0, b ^ np.int64(0x7FFFFFFFFFFFFFFF), b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _from_ordered_bits(v):
     import numpy as np
     import pandas as pd

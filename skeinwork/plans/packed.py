@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators.quantiles import grouped_quantiles
 from skeinwork.operators.unpack import LINK, POSTING, unpack_values
+from skeinwork.plans import sql
 from skeinwork.session import stage
 from skeinwork.sources.tables import normal_word, table
 
@@ -46,3 +47,21 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p3_found": p3_found, "p3_word_quantiles": p3_word_quantiles}
+
+_LINKS = f"SELECT DISTINCT url_hash, {sql.values('link')} AS items FROM graph WHERE link IS NOT NULL"
+
+
+def _field_sql(field: int) -> str:
+    items = f"SELECT frag_id, {sql.values(f'priority{field}')} AS items FROM inv_index WHERE priority{field} IS NOT NULL"
+    flat = f"SELECT frag_id, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS pos FROM ({items})"
+    url, count = f"nullif(regexp_extract(item, '{sql.POSTING}', 1), '')", f"regexp_extract(item, '{sql.POSTING}', 2)"
+    return f"SELECT 'inv_index' AS source_table, CAST(frag_id AS VARCHAR) AS row_id, 'priority{field}' AS field_name, CAST(pos AS INT) AS pos, coalesce({url} || '@!#' || {count}, item) AS item FROM ({flat})"
+
+
+SQL = {
+    "p6_found": f"SELECT DISTINCT 'graph' AS source_table, url_hash AS row_id, 'link' AS field_name, CAST(generate_subscripts(items, 1) - 1 AS INT) AS pos, unnest(items) AS item FROM ({_LINKS}) UNION ALL {_field_sql(1)} UNION ALL {_field_sql(3)}",
+    "p3_found": f"SELECT word FROM ({sql.postings(3)}) GROUP BY word HAVING word IS NOT NULL AND count(*) >= {HOT_SHARE} * (SELECT count(*) FROM ({sql.postings(3)}))",
+    "p3_word_quantiles": f"SELECT word, count(*) AS n_postings, "
+    + ", ".join(f"list_sort(list(cnt) FILTER (cnt IS NOT NULL))[CAST(greatest(1, ceil({p} * count(cnt) - 1e-9)) AS BIGINT)] AS q{round(100 * p)}" for p in PROBS)
+    + f" FROM ({sql.postings(3)}) WHERE word IS NOT NULL GROUP BY word",
+}

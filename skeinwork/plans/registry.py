@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skeinwork.plans import packed
+from skeinwork.plans import packed, queries
 
-QUERIES = {**packed.QUERIES}
-SQL: dict[str, str] = {}
-FLAGSHIP = packed.p3_found
+QUERIES = {**packed.QUERIES, **queries.QUERIES}
+SQL = {**packed.SQL, **queries.SQL}
+FLAGSHIP = queries.search_ranked
