@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>"
+UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>"
 TAG = r"(?s)<[^>]*>"
 META = r"(?is)<meta\b[^>]*>"
 DESCRIPTION = r"""(?is)\bname\s*=\s*["']?description\b"""

@@ -172,12 +172,11 @@ def unpack_values(df: DataFrame, column: str, keep: Sequence[str], kind: str = L
     Defined results: null, empty and valueless fields give no rows; a posting without a count gives its url as ``item`` and
     a null ``count``; a count beyond 18 digits gives a null ``count`` and stays whole in ``item``; repeated records give
     repeated rows (distinctness is the caller's choice); columns of ``df`` not kept never matter, whatever their names.
-    A kept column named like an output column is rejected with ValueError.
+    A kept column named like a column of the result comes out with ``_kept`` behind its name.
     """
-    new = ["pos", "item"] + (["url", "count"] if kind == POSTING else [])
-    if clash := set(keep) & set(new):
-        raise ValueError(f"kept columns have names of results: {sorted(clash)}")
-    fields = [df.schema[c] for c in keep] + [T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())]
+    new = {"pos", "item"} | ({"url", "count"} if kind == POSTING else set())
+    fields = [T.StructField(f"{c}_kept" if c in new else c, df.schema[c].dataType) for c in keep]
+    fields += [T.StructField("pos", T.IntegerType()), T.StructField("item", T.StringType())]
     if kind == POSTING:
         fields += [T.StructField("url", T.StringType()), T.StructField("count", T.LongType())]
     kept = len(keep)

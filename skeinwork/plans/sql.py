@@ -33,7 +33,7 @@ def stored_postings(fields: tuple[int, ...] = (1, 2, 3)) -> str:
 
 
 SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>"
+UNSEEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>|<title\b[^>]*>.*?</title\s*>"
 
 
 def decode(text: str) -> str:
