@@ -57,6 +57,16 @@ def token_counts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(df[id_column], df[text_column]).mapInArrow(run, schema)
 
 
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    try:
+        s = np.linalg.solve(a, b)
+        if np.abs(a @ s - b).max() <= 1e-8 * max(1.0, float(np.abs(b).max())):
+            return s
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=1e-10)[0]
+
+
 def fit(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
     """Non-negative least squares by the active-set method of Lawson and Hanson: x >= 0 with the least |a x - b|."""
     n = a.shape[1]
@@ -73,7 +83,7 @@ def fit(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
         active[j] = True
         while True:
             k = np.flatnonzero(active)
-            s = np.linalg.lstsq(gram[np.ix_(k, k)], rhs[k], rcond=1e-10)[0]
+            s = _solve(gram[np.ix_(k, k)], rhs[k])
             bad = s <= tiny
             if not bad.any():
                 x[:] = 0
