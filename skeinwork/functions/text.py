@@ -22,10 +22,20 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
 
 
+def is_token(word: Column) -> Column:
+    """Whether a lower-case word is indexed."""
+    return (F.length(word) >= 3) & ~word.isin(*STOP_WORDS) & word.rlike(TOKEN)
+
+
+def exploded_tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """One row for each indexed word: the columns ``keep`` and ``word``. Words are filtered as rows, in compiled code."""
+    rows = df.select(*keep, F.explode(F.split(F.lower(text), r"\W+")).alias("word"))
+    return rows.where(is_token(F.col("word")))
+
+
 def tokens(text: Column) -> Column:
     """The words of a text that are indexed: three or more letters a-z, no stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.split(F.lower(text), r"\W+"), lambda w: w.rlike(TOKEN) & ~F.array_contains(stop, w))
+    return F.filter(F.split(F.lower(text), r"\W+"), is_token)
 
 
 def token_count(text: Column) -> Column:

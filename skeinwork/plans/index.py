@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import html
-from skeinwork.functions.text import raw_tokens, stem_udf, tokens, with_stems
+from skeinwork.functions.text import exploded_tokens, raw_tokens, stem_udf, with_stems
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.sources.tables import normal_word
 
@@ -25,7 +25,7 @@ def term_frequencies(pages: DataFrame, stemmed: bool = True) -> DataFrame:
         F.struct(F.lit(DESCRIPTION).alias("field"), html.description(page).alias("text")),
         F.struct(F.lit(BODY).alias("field"), html.body_text(page).alias("text")),
     )
-    words = pages.select("url", F.inline(fields)).select("url", "field", F.explode(tokens(F.col("text"))).alias("word"))
+    words = exploded_tokens(pages.select("url", F.inline(fields)), F.col("text"), "url", "field")
     counts = words.groupBy("url", "field", "word").agg(F.count(F.lit(1)).alias("cnt"))
     if stemmed:
         counts = with_stems(counts).groupBy("url", "field", "word").agg(F.sum("cnt").alias("cnt"))

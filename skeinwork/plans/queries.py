@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import html, urls
-from skeinwork.functions.text import STOP_WORDS, tokens
+from skeinwork.functions.text import exploded_tokens
 from skeinwork.operators.dataflow import Context, Pairs, Values
 from skeinwork.plans import corpus, crawl, index, pagerank, search, sql
 from skeinwork.sources import store
@@ -221,13 +221,9 @@ def wide_pairs(spark: SparkSession, root: str) -> DataFrame:
     return out.select("key", F.concat(F.lit("["), F.array_join("values", ", "), F.lit("]")).alias("values"))
 
 
-def _stop_list() -> str:
-    return ", ".join(f"'{w}'" for w in STOP_WORDS)
-
-
 @query(f"SELECT w AS key, CAST(count(*) AS VARCHAR) AS value FROM (SELECT unnest({sql.tokens('text')}) AS w FROM documents) GROUP BY w")
 def word_count(spark: SparkSession, root: str) -> DataFrame:
-    words = _values(spark, root, "documents", "text").flat_map(tokens(F.col("value")))
+    words = Values(exploded_tokens(table(spark, root, "documents"), F.col("text")).withColumnRenamed("word", "value"))
     return words.map_to_pair(F.col("value"), F.lit("1")).fold_by_key_with(F.count(F.lit(1))).df
 
 
