@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +56,30 @@ def packed_index(rows: DataFrame, min_postings: int = 1) -> DataFrame:
     return rows.groupBy("word", "field").agg(F.count(F.lit(1)).alias("n"), listed.alias("list"))
 
 
-def stored_postings(index: DataFrame, fields: tuple[int, ...] = (TITLE, DESCRIPTION, BODY)) -> DataFrame:
-    """The postings of a stored index of fragments: ``word``, ``field``, ``url``, ``cnt``.
+def stored_postings(index: DataFrame, words: Sequence[str] | None = None, fields: tuple[int, ...] = (TITLE, DESCRIPTION, BODY)) -> DataFrame:
+    """The postings of a stored index of fragments: ``word``, ``field``, ``url``, ``cnt``; with ``words`` those of these words only, and no
+    other fragment is unpacked.
 
     Words are compared in their normal form; what was flushed twice counts once, at its largest count.
     """
     parts = None
     for f in fields:
         rows = index.select(normal_word("word").alias("word"), f"priority{f}").where("word IS NOT NULL")
+        if words is not None:
+            rows = rows.where(F.col("word").isin(*sorted(set(words))) if words else F.lit(False))
         part = unpack_values(rows, f"priority{f}", ["word"], POSTING).where("count IS NOT NULL").select("word", F.lit(f).alias("field"), "url", F.col("count").alias("cnt"))
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("word", "field", "url").agg(F.max("cnt").alias("cnt"))
 
 
+def save_postings(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes postings in the order of words, so that a search reads only the row groups of its terms.
+
+    Ranges are of word and URL: a frequent word spans several files instead of making one large one.
+    """
+    rows.repartitionByRange("word", "url").sortWithinPartitions("word", "field", "url").write.mode(mode).parquet(path)
+
+
 def positions(pages: DataFrame, stemmed: bool = True) -> DataFrame:
     """``word``, ``url``, ``places``: ordinals from 1 of every word in the text of a page, also under its stem if that differs."""
     words = pages.select("url", F.posexplode(raw_tokens(html.body_text(F.col("page")))).alias("i", "word")).select("url", "word", (F.col("i") + 1).alias("place"))

@@ -522,21 +522,21 @@ _HITS = f"""h AS (SELECT * FROM ({sql.stored_postings()}) WHERE word IN ('search
 @query(f"WITH {_STATS}, {_HITS} SELECT url, title, description, round(score, 4) AS score FROM scores ORDER BY scores.score DESC, url LIMIT 10")
 def search_ranked(spark: SparkSession, root: str) -> DataFrame:
     words = search.query_terms(LINE, stemmed=False)
-    out = search.ranked(index.stored_postings(table(spark, root, "inv_index")), _stats(spark, root), words)
+    out = search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words)
     return out.select("url", "title", "description", F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {_STATS}, {_HITS} SELECT url, round(score, 4) AS score FROM scores")
 def search_scores(spark: SparkSession, root: str) -> DataFrame:
     words = search.query_terms(LINE, stemmed=False)
-    out = search.ranked(index.stored_postings(table(spark, root, "inv_index")), _stats(spark, root), words, limit=None)
+    out = search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words, limit=None)
     return out.select("url", F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {_STATS}, {_HITS} SELECT url, round(score, 4) AS score FROM scores WHERE score < 60 ORDER BY scores.score DESC, url LIMIT 10")
 def search_ranked_page2(spark: SparkSession, root: str) -> DataFrame:
     words = search.query_terms(LINE, stemmed=False)
-    out = search.ranked(index.stored_postings(table(spark, root, "inv_index")), _stats(spark, root), words, bound=60.0)
+    out = search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words, bound=60.0)
     return out.select("url", F.round("score", 4).alias("score"))
 
 
@@ -551,14 +551,14 @@ def search_tfidf(spark: SparkSession, root: str) -> DataFrame:
     text = F.regexp_replace("current_score", r"^\s+|\s+$", "")
     value = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
     ranks = table(spark, root, "pageranks").select("url", "computed_at", value.alias("rank")).where("url IS NOT NULL AND rank IS NOT NULL").groupBy("url").agg(F.max_by("rank", F.struct("computed_at", "rank")).alias("rank"))
-    out = search.blended(index.stored_postings(table(spark, root, "inv_index")), _stats(spark, root), ranks, LINE)
+    out = search.blended(index.stored_postings(table(spark, root, "inv_index"), LINE.split(" ")), _stats(spark, root), ranks, LINE)
     return out.select("url", "title", F.round("score", 4).alias("score"))
 
 
 @query()
 def search_json(spark: SparkSession, root: str) -> DataFrame:
     words = search.query_terms(LINE, stemmed=False)
-    return search.to_json(search.ranked(index.stored_postings(table(spark, root, "inv_index")), _stats(spark, root), words))
+    return search.to_json(search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words))
 
 
 @query()

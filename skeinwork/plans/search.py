@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import STOP_WORDS, stem
+from skeinwork.session import stage
 
 CANDIDATES, FIRST_WEIGHT, WEIGHT_STEP, BASE, POWER, LIMIT = 5000, 64, 4, 16.0, 8.0, 10
 TFIDF_SHARE, RANK_SHARE, NO_RANK = 0.8, 0.2, 0.15
@@ -22,7 +23,7 @@ def query_terms(line: str, stemmed: bool = True, strict: bool = False) -> list[s
 
 
 def _terms(spark: SparkSession, words: list[str]) -> DataFrame:
-    """Distinct terms with ``times``; as many rows as the query has words, so a broadcast is bounded by the query."""
+    """Distinct terms with ``times``: as many rows as the query has words, so a broadcast is bounded by the query."""
     return F.broadcast(spark.createDataFrame([(w, words.count(w)) for w in sorted(set(words))], "word string, times int"))
 
 
@@ -35,7 +36,8 @@ def ranked(postings: DataFrame, stats: DataFrame, words: list[str], bound: float
     scores below it (the last score of a page of results leads to the next one). Ties come in the order of urls.
     """
     spark = postings.sparkSession
-    hits = postings.join(_terms(spark, words), "word")
+    # four steps need the postings of the terms; the index is read once
+    hits = stage(postings.where(F.col("word").isin(*sorted(set(words))) if words else F.lit(False)).join(_terms(spark, words), "word"), "hits")
     fields = hits.select("word", "field").distinct().groupBy("word").agg(F.array_sort(F.collect_list("field")).alias("fields"))
     sizes = hits.groupBy("word").agg(F.sum("times").alias("n"))
     # two rows of figures a term: as small as the query
@@ -65,7 +67,8 @@ def blended(postings: DataFrame, stats: DataFrame, ranks: DataFrame, line: str)
     """
     spark = postings.sparkSession
     words = line.split(" ")
-    hits = postings.join(_terms(spark, words), "word").groupBy("word", "times", "url").agg(F.sum("cnt").alias("cnt"))
+    hits = postings.where(F.col("word").isin(*sorted(set(words)))).join(_terms(spark, words), "word").groupBy("word", "times", "url").agg(F.sum("cnt").alias("cnt"))
+    hits = stage(hits, "hits")
     df = F.broadcast(hits.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     n = stats.count()
     length = F.coalesce("desc_words", F.lit(0)) + F.coalesce("body_words", F.lit(0))

@@ -48,6 +48,22 @@ def test_index(pages):
     assert all(r.n for r in index.packed_index(index.postings(pages), min_postings=3).collect())
 
 
+def test_saved_postings(pages, spark, tmp_path):
+    index.save_postings(index.postings(pages), str(tmp_path / "index"))
+    saved = spark.read.parquet(str(tmp_path / "index"))
+    assert sorted(map(tuple, saved.select("word", "field", "url", "cnt").collect())) == sorted(map(tuple, index.postings(pages).collect()))
+    plan = saved.where("word = 'stone'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(word,stone)" in plan
+
+
+def test_stored_postings(spark):
+    rows = [(1, " Stone ", "http://a@!#2", None, "http://a@!#3@@!!##http://b,1"), (2, "stone", "http://a@!#2", None, None), (3, "red", None, "http://c@!#1", None), (4, None, "http://d@!#1", None, None)]
+    df = spark.createDataFrame(rows, "frag_id long, word string, priority1 string, priority2 string, priority3 string")
+    got = lambda w: sorted(map(tuple, index.stored_postings(df, w).collect()))
+    assert got(["stone"]) == [("stone", 1, "http://a", 2), ("stone", 3, "http://a", 3), ("stone", 3, "http://b", 1)]
+    assert len(got(None)) == 4 and got([]) == []
+
+
 def test_top_terms(spark):
     body = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)} " * (2 + (i < 3)) for i in range(60))
     rows = index.postings(spark.createDataFrame([("u", f"<body>{body}</body>")], "url string, page string"), stemmed=False).where("field = 3").collect()
