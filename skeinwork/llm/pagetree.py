@@ -213,7 +213,7 @@ def main_body(page: Page, heard: bool = False) -> list[int]:
     text in links to the own site. The element around it gets that, the next one half of it (not
     the page as a whole, which would win by default); a page's headline adds ``HEADLINE``; furniture adds nothing. Scores are discounted by the element's own link density. The best element is kept, and siblings that score
     at least half of it with paragraphs of like length; navigation, asides, headers and footers never count. ``heard``: also
-    count text that is hidden from readers, and short items by their length.
+    count text that is hidden from readers, and all text by its length.
     """
     segments, homes, marks = page.segments, page.containers(), page.marks()
     n = len(page.tags)
@@ -231,7 +231,7 @@ def main_body(page: Page, heard: bool = False) -> list[int]:
         if page.tags[s.node] == "h1":
             score[home] += HEADLINE
         elif size >= MIN_TEXT and page.tags[s.node] not in HEADINGS and not mark:
-            points = (1 + s.text.count(",") + min(size / 100, 3.0)) * (1 - min(s.inner, size) / size)
+            points = (1 + s.text.count(",") + (size / 100 if heard else min(size / 100, 3.0))) * (1 - min(s.inner, size) / size)
             score[home] += points
             count[home] += 1
             up = page.parents[home]
