@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from skeinwork.llm.pagetree import Page, article_segments
+from skeinwork.llm.words import pieces
 
 
 def body_lines(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
@@ -21,7 +22,7 @@ def body_lines(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), T.StructField("line_no", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, 1)):
             rows, lines = [], []
             for i, source in enumerate(batch.column(1).to_pylist()):
                 if source:
@@ -43,7 +44,7 @@ def body_text(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), T.StructField("body", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, 1)):
             texts = []
             for source in batch.column(1).to_pylist():
                 page = Page(source or "", False)

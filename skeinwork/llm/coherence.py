@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
-from skeinwork.llm.words import WORD, scramble
+from skeinwork.llm.words import WORD, pieces, scramble
 from skeinwork.operators.joins import small
 from skeinwork.session import stage
 
@@ -64,8 +64,7 @@ def _contents(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known: dict[str, int] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in pieces(whole, 1, 1000):
                 words, sizes, kinds, keys = [], [], [], []
                 for p in batch.column(1).to_pylist():
                     parts = page_content(p)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.words import plain, words_of
+from skeinwork.llm.words import pieces, plain, words_of
 
 RUN, SHARE_PERCENT = 10, 30
 #: Characters of evaluation text that travel to the executors at a time; more text is searched in several passes.
@@ -147,7 +147,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     ``match_in_doc`` (ordinals of its first word). Tags and entities of documents are taken out first.
 
     The items are the small side: their text is sent to the executors in blocks of at most ``BLOCK_CHARS`` characters
-    (one pass over the corpus each), so what is sent is bounded whatever the number of items. Shards are Arrow batches; no
+    (one pass over the corpus each), so what is sent is bounded whatever the number of items. Shards are Arrow batches, or parts of large ones; no
     shuffle takes place.
 
     Defined results: null and empty texts match nothing; items with less than ``run`` words match nothing; repeated
@@ -165,7 +165,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     def passes(tests: TestSet) -> DataFrame:
         def shard(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             number = tests.vocabulary.get
-            for batch in batches:
+            for batch in (part for b in batches for part in pieces(b, 1, 10_000)):
                 lens, words = np.zeros(batch.num_rows, np.int64), []
                 for k, t in enumerate(batch.column(1).to_pylist()):
                     w = words_of(plain(t))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.words import page_words, scramble
+from skeinwork.llm.words import page_words, pieces, scramble
 from skeinwork.operators.components import components
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.session import stage
@@ -172,8 +172,7 @@ def _texts(df: DataFrame, id_column: str, page_column: str, words: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         maker = Sketcher(words)
         for whole in batches:
-            for at in range(0, whole.num_rows, PAGES):
-                batch = whole.slice(at, PAGES)
+            for batch in pieces(whole, 1, PAGES):
                 sets = maker.sets(batch.column(1).to_pylist())
                 rows = [i for i, s in enumerate(sets) if len(s)]
                 if not rows:

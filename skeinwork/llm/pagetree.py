@@ -6,6 +6,8 @@ import html
 import re
 from dataclasses import dataclass
 
+from skeinwork.llm.words import closed
+
 # HTML element names by their role in a page.
 BLOCKS = frozenset(
     "html body div section article main aside header footer nav table thead tbody tfoot tr td th caption ul ol dl li dt dd p h1 h2 h3 h4 h5 h6 "
@@ -118,6 +120,7 @@ class Page:
             else:
                 add(piece)
 
+        source = closed(source)
         for m in TOKEN.finditer(source):
             if m.start() > at:
                 feed(source[at : m.start()])

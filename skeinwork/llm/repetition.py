@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skeinwork.llm.words import MIX, hashed, scramble, words_of
+from skeinwork.llm.words import MIX, hashed, pieces, scramble, words_of
 
 LENGTHS = (3, 6, 10)
 
@@ -86,7 +86,7 @@ def repetition(df: DataFrame, id_column: str, text_column: str, lengths: Sequenc
     fields.append(T.StructField("line_share", T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in pieces(b, 1)):
             texts = batch.column(1).to_pylist()
             lens, words = np.zeros(len(texts), np.int64), []
             for i, t in enumerate(texts):
