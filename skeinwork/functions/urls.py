@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,6 +96,31 @@ def letter_hash(digest: Column) -> Column:
     return encode(digest)
 
 
+def decoded(text: Column) -> Column:
+    """Percent-decoded text; null for null and for text that is not properly encoded."""
+    return F.try_url_decode(text)
+
+
+def random_id() -> Column:
+    """A random key that begins with a letter."""
+    return F.concat(F.lit("k"), F.uuid())
+
+
+@F.pandas_udf(T.StringType())
+def body_of(data: pd.Series) -> pd.Series:
+    """The text of response bodies (binary), unpacked where they are gzip; bytes that are not UTF-8 are replaced."""
+
+    def one(raw: bytes) -> str:
+        if raw[:2] == b"\x1f\x8b":
+            try:
+                raw = gzip.decompress(raw)
+            except (OSError, EOFError, zlib.error):
+                pass
+        return bytes(raw).decode("utf-8", "replace")
+
+    return data.map(one, na_action="ignore")
+
+
 DEFAULT_DELAY_MS, BLOCKED = 400, None
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.sources.store import Catalog
+
 VALUE = T.StructType([T.StructField("value", T.StringType())])
 PAIR = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 Step = Column | Callable[..., Any]
@@ -137,6 +139,11 @@ class Values:
         """Elements less one for each equal element of ``other``."""
         return Values(self.df.select("value").exceptAll(other.df.select("value")))
 
+    def first_by(self, prefix: str) -> Values:
+        """Of the elements that are alike before the delimiter ``prefix`` only the least one: elements keyed by what they begin with."""
+        head = F.substring_index("value", prefix, 1)
+        return Values(self.df.groupBy(head.alias("k")).agg(F.min("value").alias("value")).select("value"))
+
     # -- results
 
     def fold(self, zero: str, step: Callable[[str, str], str]) -> str:
@@ -302,6 +309,11 @@ class Context:
     def result(self) -> str:
         return "".join(self._output) or "No output available"
 
+    @property
+    def catalog(self) -> Catalog:
+        """Direct access to the durable tables."""
+        return Catalog(self.spark)
+
     def set_concurrency(self, parts: int) -> None:
         """Partitions of what is parallelized from now on."""
         self._parallelism = parts

@@ -370,7 +370,7 @@ def url_parse(spark: SparkSession, root: str) -> DataFrame:
 @query("SELECT DISTINCT url, url_decode(replace(replace(url, '/', '%2F'), 'a', '%61')) AS decoded FROM pages WHERE url IS NOT NULL")
 def url_decoded(spark: SparkSession, root: str) -> DataFrame:
     coded = F.replace(F.replace(F.col("url"), F.lit("/"), F.lit("%2F")), F.lit("a"), F.lit("%61"))
-    return table(spark, root, "pages").where("url IS NOT NULL").select("url", F.url_decode(coded).alias("decoded")).distinct()
+    return table(spark, root, "pages").where("url IS NOT NULL").select("url", urls.decoded(coded).alias("decoded")).distinct()
 
 
 @query("SELECT DISTINCT url, sha1(url) AS url_hash FROM pages WHERE url IS NOT NULL")
@@ -588,6 +588,21 @@ def crawl_frontier(spark: SparkSession, root: str) -> DataFrame:
     return crawl.frontier(seeds, corpus.edges(_stored_graph(spark, root)), max_depth=4)
 
 
+@query()
+def crawl_replay(spark: SparkSession, root: str) -> DataFrame:
+    """The crawl from the least URL of each host on."""
+    pages = table(spark, root, "crawl")
+    seeds = pages.where("url IS NOT NULL").groupBy("host").agg(F.min("url").alias("url"))
+    return crawl.replay(seeds, pages, table(spark, root, "hosts"))
+
+
+@query()
+def crawl_schedule(spark: SparkSession, root: str) -> DataFrame:
+    """When every allowed page of a host can be fetched, keeping the host's delay."""
+    known = table(spark, root, "crawl").select("url", "host").where("url IS NOT NULL").distinct()
+    return crawl.polite_schedule(crawl.allowed(known, table(spark, root, "hosts")).withColumn("depth", F.lit(0))).select("url", "host", "start_ms")
+
+
 @query(
     """SELECT host, CAST(epoch(crawled_at) AS BIGINT) // 600 * 600 AS begin, count(*) AS fetches FROM crawl WHERE crawled_at IS NOT NULL GROUP BY 1, 2"""
 )

@@ -139,3 +139,8 @@ def test_concurrency(job, spark):
     c = Context(spark)
     c.set_concurrency(3)
     assert c.parallelize(["a", "b", "c"]).df.rdd.getNumPartitions() == 3
+
+
+def test_first_by(job):
+    assert sorted(job.parallelize(["u@!#3", "u@!#1", "v@!#2"]).first_by("@!#").collect()) == ["u@!#1", "v@!#2"]
+    assert job.catalog.count("no_such_table") == 0

@@ -110,3 +110,14 @@ def test_robots(text, path, delay):
 
 def test_robots_strict():
     assert robots_delay("User-agent: *\nDisallow:", "/x", strict=True) is None
+
+
+def test_ids_and_bodies(spark):
+    import gzip
+
+    rows = [(gzip.compress("grün".encode()),), ("grün".encode(),), (b"\x1f\x8bbroken",), (b"\xff",), (None,)]
+    got = [r.t for r in spark.createDataFrame(rows, "b binary").select(urls.body_of("b").alias("t")).collect()]
+    assert got[0] == got[1] == "grün" and got[3] == "�" and got[4] is None
+    assert one(spark, urls.decoded(F.col("c0")), "a%20b+c") == "a b c" and one(spark, urls.decoded(F.col("c0")), "%zz") is None and one(spark, urls.decoded(F.col("c0")), None) is None
+    ids = [r.x for r in spark.range(5).select(urls.random_id().alias("x")).collect()]
+    assert len(set(ids)) == 5 and all(i[0].isalpha() for i in ids)

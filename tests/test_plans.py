@@ -160,3 +160,25 @@ def test_frontier_and_robots(spark):
     hosts = spark.createDataFrame([("h", "User-agent: *\nDisallow: /no\nCrawl-delay: 2"), ("k", None)], "host string, robots string")
     known = spark.createDataFrame([("http://h/no/x", "h"), ("http://h/yes", "h"), ("http://k", "k"), ("http://q/no", "q")], "url string, host string")
     assert {r.url: r.delay_ms for r in crawl.allowed(known, hosts).collect()} == {"http://h/yes": 2000, "http://k": 400, "http://q/no": 400}
+
+
+def test_replay(spark):
+    body = lambda *to: "<body>" + "".join(f"<a href='{t}'>x</a>" for t in to) + "</body>"
+    rows = [
+        ("http://h/a", "h", "200", "en", body("/b", "http://h:80/c", "/no/x", "/far")), ("http://h/b", "h", "200", None, body("/d")), ("http://h:80/c", "h", "200", None, body("/d")), ("http://h/d", "h", "404", None, None),
+        ("http://h/no/x", "h", "200", None, body("/e")), ("http://h/e", "h", "200", None, body()), ("http://k/a", "k", "200", "de", body("http://h/e")), ("http://h/a", "h", "200", "en", body("/b", "http://h:80/c", "/no/x", "/far")),
+    ]
+    pages = spark.createDataFrame(rows, "url string, host string, response_code string, lang string, page string")
+    hosts = spark.createDataFrame([("h", "User-agent: *\nDisallow: /no")], "host string, robots string")
+    seeds = spark.createDataFrame([("http://h/a",), ("http://k/a",), ("http://gone/",)], "url string")
+    got = {r.url: (r.depth, r.canonical_url) for r in crawl.replay(seeds, pages, hosts).collect()}
+    # c is a copy of b, so its links are not followed; d comes by b
+    assert got == {"http://h/a": (0, None), "http://k/a": (0, None), "http://h/b": (1, None), "http://h:80/c": (1, "http://h/b"), "http://h/d": (2, None)}
+    assert crawl.replay(seeds.limit(0), pages, hosts).count() == 0
+    assert {r.url for r in crawl.replay(seeds, pages, hosts, blocked=["/b"]).collect()} == {"http://h/a", "http://k/a", "http://h:80/c", "http://h/d"}
+
+
+def test_schedule(spark):
+    rows = [("u2", "h", 1, 500), ("u1", "h", 1, 500), ("u3", "h", 0, 500), ("v", "k", 0, 400)]
+    got = crawl.polite_schedule(spark.createDataFrame(rows, "url string, host string, depth int, delay_ms long")).collect()
+    assert {r.url: r.start_ms for r in got} == {"u3": 0, "u1": 500, "u2": 1000, "v": 0}
