@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from skeinwork.llm.words import closed
 
@@ -68,7 +69,8 @@ class Page:
     """Block elements (``tags``, ``parents``, ``holders``: has block children) and segments of a page."""
 
     def __init__(self, source: str, by_line: bool) -> None:
-        self.tags, self.parents, self.holders, self.hidden = ["#"], [0], [False], [False]
+        tags, parents, holders, hidden = ["#"], [0], [False], [False]
+        self.tags, self.parents, self.holders, self.hidden = tags, parents, holders, hidden
         self.segments: list[Segment] = []
         self._marks: list[bool] | None = None
         stack, line, at = [0], 0, 0
@@ -94,19 +96,20 @@ class Page:
 
         def add(piece: str) -> None:
             nonlocal inner, outer, seen_hidden, first_line
-            if not piece:
+            size = len(piece.strip())
+            if not size:
+                if text:
+                    text.append(" ")
                 return
             if not text:
                 first_line = line
             text.append(piece)
-            if not piece.isspace():
-                size = len(piece.strip())
-                if link == "inner":
-                    inner += size
-                elif link == "outer":
-                    outer += size
-                if not veils and not self.hidden[stack[-1]]:
-                    seen_hidden = False
+            if link == "inner":
+                inner += size
+            elif link == "outer":
+                outer += size
+            if not veils and not hidden[stack[-1]]:
+                seen_hidden = False
 
         def feed(piece: str) -> None:
             nonlocal line
@@ -122,10 +125,11 @@ class Page:
 
         source = closed(source)
         for m in TOKEN.finditer(source):
-            if m.start() > at:
-                feed(source[at : m.start()])
-            at = m.end()
-            tag = m.group("tag")
+            begin, end = m.span()
+            if begin > at:
+                feed(source[at:begin])
+            at = end
+            tag, slash, attrs = m.group("tag", "end", "attrs")
             if by_line and "\n" in m.group():
                 flush()
                 line += m.group().count("\n")
@@ -138,16 +142,16 @@ class Page:
             if tag == "br":
                 flush()
                 continue
-            closing = m.group("end") == "/"
+            closing = slash == "/"
             if tag not in BLOCKS:
                 if tag == "a":
                     link = ""
                     if not closing:
-                        link = _link_kind(m.group("attrs"))
+                        link = _link_kind(attrs)
                 if closing:
                     if veils and veils[-1] == tag:
                         veils.pop()
-                elif (attrs := m.group("attrs")) and _hides(attrs):
+                elif attrs and _hides(attrs):
                     veils.append(tag)
                 if tag in ("td", "span", "option"):
                     add(" ")
@@ -156,25 +160,24 @@ class Page:
             link = ""
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
+                    if tags[stack[k]] == tag:
                         del stack[k:]
                         break
                 continue
             for k in range(len(stack) - 1, 0, -1):
-                open_tag = self.tags[stack[k]]
+                open_tag = tags[stack[k]]
                 if open_tag in ENDS and tag in ENDS[open_tag]:
                     del stack[k:]
                     break
                 if tag in SCOPE and open_tag in SCOPE[tag] or (tag not in SCOPE and open_tag not in PARAGRAPHS):
                     break
             up = stack[-1]
-            self.holders[up] = True
-            self.tags.append(tag)
-            self.parents.append(up)
-            self.holders.append(False)
-            attrs = m.group("attrs")
-            self.hidden.append(self.hidden[up] or bool(attrs and _hides(attrs)))
-            stack.append(len(self.tags) - 1)
+            holders[up] = True
+            tags.append(tag)
+            parents.append(up)
+            holders.append(False)
+            hidden.append(hidden[up] or bool(attrs and _hides(attrs)))
+            stack.append(len(tags) - 1)
         if at < len(source):
             feed(source[at:])
         flush()
@@ -268,6 +271,7 @@ MONTHS = "january|february|march|april|may|june|july|august|september|october|no
 DATE = re.compile(rf"\b\d{{1,2}}\.? (?:{MONTHS})\.?,? \d{{4}}\b|\b(?:{MONTHS})\.? \d{{1,2}},? \d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}\b", re.I)
 BYLINE = re.compile(r"^(?:posted|published|updated|last updated|last modified|filed|written|by|from|reported|reading time)\b|\b(?:staff writer|correspondent|editor|reading time|min(?:ute)? read|in brief)\b|\bdesk\b", re.I)
 SHARE = frozenset("share shares this tweet retweet pin it post mail email e-mail print copy link like save for later page article send whatsapp facebook twitter linkedin reddit pinterest telegram to a friend on via".split())
+SHARE_FIRST = SHARE | {""}
 SHARE_VERBS = frozenset("share tweet pin print email mail like save".split())
 FIGURES = frozenset("0123456789")
 COMMENTS = re.compile(r"^(?:\d+|no|view all|show|all|leave a|add a|post a|write a) (?:reader |user )?(?:comments?|replies|reply|responses?)\b|\bjoin the (?:discussion|conversation|debate)\b", re.I)
@@ -291,8 +295,12 @@ CUES = (
 )
 
 
+@lru_cache(maxsize=1 << 15)
 def furniture(text: str) -> bool:
-    """Whether a line is a byline, a row of share buttons, the head of reader comments, a promotion or a notice."""
+    """Whether a line is a byline, a row of share buttons, the head of reader comments, a promotion or a notice.
+
+    Sites repeat their furniture, so that most of it is known already when a page comes.
+    """
     lower = text.lower()
     if len(text) <= 140:
         words = lower.split()
@@ -300,7 +308,7 @@ def furniture(text: str) -> bool:
             dated = ("reading time" in lower) or (not FIGURES.isdisjoint(lower) and DATE.search(text))
             if dated and (BYLINE.search(text) or len(words) <= 6 and len(DATE.sub("", text).split()) <= 1):
                 return True
-            if len(words) <= 12:
+            if len(words) <= 12 and words and words[0].strip(".:,;|·-–—") in SHARE_FIRST:
                 plain = [w for w in (x.strip(".:,;|·-–—") for x in words) if w]
                 if plain and all(w in SHARE for w in plain) and not SHARE_VERBS.isdisjoint(plain):
                     return True
