@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
-from skeinwork.llm.words import WORD, pieces, scramble
+from skeinwork.llm.words import WORD, distinct, pieces, scramble
 from skeinwork.operators.joins import small
 from skeinwork.session import stage
 
@@ -69,8 +69,9 @@ def _contents(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
                 for p in batch.column(1).to_pylist():
                     parts = page_content(p)
                     flat = [w for ws, _ in parts for w in ws]
-                    for w in set(flat) - known.keys():
-                        known[w] = xxhash.xxh32_intdigest(w)
+                    for w in set(flat):
+                        if w not in known:
+                            known[w] = xxhash.xxh32_intdigest(w)
                     words.append(np.fromiter(map(known.__getitem__, flat), np.uint32, len(flat)).tobytes())
                     sizes.append(np.array([len(ws) for ws, _ in parts], np.uint32).tobytes())
                     kinds.append(bytes(k for _, k in parts))
@@ -129,7 +130,7 @@ def count(c: Content, into: Counts) -> None:
     into.words += np.bincount(word_buckets(c.words), minlength=1 << WORD_BITS)
     at, bucket = pairs_of(c)
     into.pairs += np.bincount(bucket, minlength=1 << PAIR_BITS)
-    once = np.unique(c.page[at] << PAIR_BITS | bucket)
+    once = distinct(c.page[at] << PAIR_BITS | bucket)
     into.pages += np.bincount(once & ((1 << PAIR_BITS) - 1), minlength=1 << PAIR_BITS)
     into.n += c.pages
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.words import page_words, pieces, scramble
+from skeinwork.llm.words import distinct, page_words, pieces, scramble
 from skeinwork.operators.components import components
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.session import stage
@@ -53,8 +53,9 @@ class Sketcher:
         known = self.known
         if len(known) > 2_000_000:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def sets(self, pages: list[str]) -> list[np.ndarray]:
@@ -71,7 +72,7 @@ class Sketcher:
         roll = (scramble(roll) >> np.uint64(32)).astype(np.uint32)
         out, at = [], 0
         for n in lens:
-            out.append(np.unique(roll[at : at + max(n - self.words + 1, 0)]))
+            out.append(distinct(roll[at : at + max(n - self.words + 1, 0)]))
             at += n
         return out
 

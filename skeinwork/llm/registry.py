@@ -177,6 +177,12 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p9_clean(spark: SparkSession, root: str) -> DataFrame:
+    """The documents into which no item leaked."""
+    documents = table(spark, root, "documents").select("doc_id", "source", "lang")
+    return leakage.without_leaks(documents, p9_found(spark, root), "doc_id")
+
+
 # -- 10: repetition
 
 
@@ -195,7 +201,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p1_found": nearcopies.p1_found, "p1_groups": nearcopies.p1_groups, "p2_found": p2_found, "p2_scores": p2_scores, "p5_found": p5_found, "p5_crawl_bodies": p5_crawl_bodies,
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_packing": p8_packing,
-    "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_repetition": p10_repetition,
+    "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean, "p10_found": p10_found, "p10_repetition": p10_repetition,
 }
 
 _CANDIDATES = f"""t AS (SELECT DISTINCT {sql.normal_word()} AS word FROM query_terms WHERE {sql.normal_word()} IS NOT NULL),

@@ -63,6 +63,12 @@ def hashed(words: list[str]) -> np.ndarray:
     return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of an integer array."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
