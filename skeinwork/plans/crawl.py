@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions.urls import normal_url, robots_delay_udf
 from skeinwork.operators.ranking import running_sum
 from skeinwork.plans.corpus import edges, link_graph
-from skeinwork.session import stage
+from skeinwork.session import partitioned, stage
 
 MAX_DEPTH, MAX_URL = 15, 300
 
@@ -29,13 +29,13 @@ def allowed(urls: DataFrame, hosts: DataFrame) -> DataFrame:
 def frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, blocked: Sequence[str] = ()) -> DataFrame:
     """``url``, ``depth``: every page within reach of ``seeds`` (``url``) along ``links`` (``src``, ``dst``), with its least number of steps.
 
-    Breadth first, one round for each depth: the newest pages meet their links, known pages are taken out by an anti join,
+    Breadth first, one round for each depth: the newest pages meet their links (partitioned once), known pages are taken out by an anti join,
     and each round is written to the shared folder. Long URLs and URLs with a piece of ``blocked`` in them are not followed.
     """
     fit = F.length("url") <= MAX_URL
     for piece in blocked:
         fit &= ~F.col("url").contains(piece)
-    links = stage(links.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "links")
+    links = partitioned(stage(links.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "links"), "src")
     newest = stage(seeds.select("url").where("url IS NOT NULL").where(fit).distinct().withColumn("depth", F.lit(0)), "round")
     seen = newest
     for depth in range(1, max_depth + 1):
@@ -44,6 +44,7 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, blo
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest)
+    links.unpersist()
     return seen
 
 

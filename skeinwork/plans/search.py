@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions.text import STOP_WORDS, stem
 from skeinwork.session import stage
 
+# Fixed values of the two ranking formulas.
 CANDIDATES, FIRST_WEIGHT, WEIGHT_STEP, BASE, POWER, LIMIT = 5000, 64, 4, 16.0, 8.0, 10
 TFIDF_SHARE, RANK_SHARE, NO_RANK = 0.8, 0.2, 0.15
 

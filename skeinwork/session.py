@@ -68,6 +68,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitioned(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` kept in memory or on disk, hash-partitioned and sorted by ``columns``: joins by them, round after round, move only the other
+    side. Lost blocks are made again from what ``df`` reads, so that should be a staged table. Unpersist it when done."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns).sortWithinPartitions(*columns).persist()
+
+
 def _drop_later(spark: SparkSession, path: str) -> None:
     if path.startswith("file://"):
         atexit.register(shutil.rmtree, path[len("file://") :], ignore_errors=True)
