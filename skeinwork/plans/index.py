@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import html
 from skeinwork.functions.text import exploded_tokens, raw_tokens, stem_udf, with_stems
+from skeinwork.operators.ranking import running_sum
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.sources.tables import normal_word
 
 TITLE, DESCRIPTION, BODY = 1, 2, 3
 TOP_TERMS, MINOR, MAJOR = 50, "@!#", "@@!!##"
+#: Postings in one stored list, at most.
+FRAGMENT = 10_000
 
 
 def term_frequencies(pages: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -42,18 +45,20 @@ def postings(pages: DataFrame, stemmed: bool = True, top: int = TOP_TERMS) -> Da
     return tf.where(F.col("field") != BODY).unionByName(body).select("word", "field", "url", "cnt")
 
 
-def packed_index(rows: DataFrame, min_postings: int = 1) -> DataFrame:
-    """``word``, ``field``, ``n``, ``list``: posting lists in their stored form, urls ascending.
+def packed_index(rows: DataFrame, min_postings: int = 1, fragment: int = FRAGMENT) -> DataFrame:
+    """``word``, ``field``, ``part``, ``n``, ``list``: posting lists in their stored form, urls ascending, in parts of ``fragment`` postings.
 
-    For export only: a list is as long as its word is frequent, so searches work on the rows. ``min_postings`` leaves out words
-    that have fewer postings over all fields.
+    For export only: searches work on the rows. Parts are of bounded size however frequent a word is, and its postings are
+    numbered over many tasks. ``min_postings`` leaves out words that have fewer postings over all fields.
     """
     if min_postings > 1:
         enough = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_postings).select("word")
         rows = rows.join(enough, "word", "left_semi")
     entry = F.concat("url", F.lit(MINOR), F.col("cnt").cast("string"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", entry.alias("e")))), lambda x: x.e), MAJOR)
-    return rows.groupBy("word", "field").agg(F.count(F.lit(1)).alias("n"), listed.alias("list"))
+    numbered = running_sum(rows, ["word", "field"], [F.col("url")], F.lit(1), "ordinal")
+    part = F.floor(F.col("ordinal") / fragment).cast("int").alias("part")
+    return numbered.groupBy("word", "field", part).agg(F.count(F.lit(1)).alias("n"), listed.alias("list"))
 
 
 def stored_postings(index: DataFrame, words: Sequence[str] | None = None, fields: tuple[int, ...] = (TITLE, DESCRIPTION, BODY)) -> DataFrame:
@@ -89,8 +94,10 @@ def positions(pages: DataFrame, stemmed: bool = True) -> DataFrame:
     return words.groupBy("word", "url").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
-def positional_lists(places: DataFrame) -> DataFrame:
-    """``word``, ``list``: ``url:1 5 9`` entries by number of places, most first, then by url."""
+def positional_lists(places: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
+    """``word``, ``part``, ``list``: ``url:1 5 9`` entries by number of places, most first, then by url, in parts of ``fragment`` entries."""
     entry = F.concat("url", F.lit(":"), F.array_join(F.transform("places", lambda p: p.cast("string")), " "))
-    order = F.array_sort(F.collect_list(F.struct((-F.size("places")).alias("n"), "url", entry.alias("e"))))
-    return places.groupBy("word").agg(F.array_join(F.transform(order, lambda x: x.e), ",").alias("list"))
+    rows = places.select("word", "url", (-F.size("places")).alias("n"), entry.alias("e"))
+    numbered = running_sum(rows, ["word"], [F.col("n"), F.col("url")], F.lit(1), "ordinal")
+    order = F.array_sort(F.collect_list(F.struct("n", "url", "e")))
+    return numbered.groupBy("word", F.floor(F.col("ordinal") / fragment).cast("int").alias("part")).agg(F.array_join(F.transform(order, lambda x: x.e), ",").alias("list"))

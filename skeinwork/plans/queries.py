@@ -424,6 +424,9 @@ _POSTINGS = _TF + """, top AS (SELECT url, field, word, cnt, row_number() OVER (
     postings AS (SELECT word, field, url, cnt FROM tf WHERE field <> 3 UNION ALL SELECT word, field, url, cnt FROM top WHERE place <= 50)"""
 
 
+_PARTS = "(SELECT *, (row_number() OVER (PARTITION BY word, field ORDER BY url) - 1) // 10000 AS part FROM postings)"
+
+
 @query(_TF + " SELECT url, field, word, cnt FROM tf")
 def term_freq(spark: SparkSession, root: str) -> DataFrame:
     return index.term_frequencies(_pages(spark, root), stemmed=False).select("url", "field", "word", "cnt")
@@ -434,12 +437,12 @@ def term_freq_top50(spark: SparkSession, root: str) -> DataFrame:
     return index.postings(_pages(spark, root), stemmed=False).where("field = 3").select("url", "word", "cnt")
 
 
-@query(_POSTINGS + " SELECT word, field, count(*) AS n, string_agg(url || '@!#' || cnt, '@@!!##' ORDER BY url) AS list FROM postings GROUP BY word, field")
+@query(_POSTINGS + " SELECT word, field, CAST(part AS INT) AS part, count(*) AS n, string_agg(url || '@!#' || cnt, '@@!!##' ORDER BY url) AS list FROM " + _PARTS + " GROUP BY word, field, part")
 def inverted_index(spark: SparkSession, root: str) -> DataFrame:
     return index.packed_index(index.postings(_pages(spark, root), stemmed=False))
 
 
-@query(_POSTINGS + ", enough AS (SELECT word FROM postings GROUP BY word HAVING count(*) >= 2) SELECT word, field, count(*) AS n, string_agg(url || '@!#' || cnt, '@@!!##' ORDER BY url) AS list FROM postings WHERE word IN (FROM enough) GROUP BY word, field")
+@query(_POSTINGS + ", enough AS (SELECT word FROM postings GROUP BY word HAVING count(*) >= 2) SELECT word, field, CAST(part AS INT) AS part, count(*) AS n, string_agg(url || '@!#' || cnt, '@@!!##' ORDER BY url) AS list FROM " + _PARTS + " WHERE word IN (FROM enough) GROUP BY word, field, part")
 def inverted_index_pruned(spark: SparkSession, root: str) -> DataFrame:
     """Without words that have a single posting."""
     return index.packed_index(index.postings(_pages(spark, root), stemmed=False), min_postings=2)
@@ -461,7 +464,8 @@ _PLACES = f"""WITH p AS ({sql.PAGES}), w AS (SELECT url, list_filter(string_spli
     e AS (SELECT url, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w)"""
 
 
-@query(_PLACES + " SELECT word, string_agg(e, ',' ORDER BY n DESC, url) AS list FROM (SELECT word, url, count(*) AS n, url || ':' || string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) AS e FROM e GROUP BY word, url) GROUP BY word")
+@query(_PLACES + """ SELECT word, CAST(part AS INT) AS part, string_agg(e, ',' ORDER BY n DESC, url) AS list FROM (SELECT *, (row_number() OVER (PARTITION BY word ORDER BY n DESC, url) - 1) // 10000 AS part
+    FROM (SELECT word, url, count(*) AS n, url || ':' || string_agg(CAST(place AS VARCHAR), ' ' ORDER BY place) AS e FROM e GROUP BY word, url)) GROUP BY word, part""")
 def positional_index(spark: SparkSession, root: str) -> DataFrame:
     return index.positional_lists(index.positions(_pages(spark, root), stemmed=False))
 

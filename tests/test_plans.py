@@ -46,6 +46,8 @@ def test_index(pages):
     lists = {(r.word, r.field): (r.n, r.list) for r in index.packed_index(index.postings(pages)).collect()}
     assert lists["stone", 3] == (2, f"{one}@!#3@@!!##{two}@!#2")
     assert all(r.n for r in index.packed_index(index.postings(pages), min_postings=3).collect())
+    parts = {(r.part, r.list) for r in index.packed_index(index.postings(pages), fragment=1).where("word = 'stone' AND field = 3").collect()}
+    assert parts == {(0, f"{one}@!#3"), (1, f"{two}@!#2")}
 
 
 def test_saved_postings(pages, spark, tmp_path):
