@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from skeinwork.functions import html
 from skeinwork.functions.text import token_count
 from skeinwork.functions.urls import normal_url, resolve, url_key
+from skeinwork.operators.joins import small
+from skeinwork.session import stage
 
 
 def latest_pages(crawl: DataFrame, url: str = "url", page: str = "page", at: str | None = "crawled_at") -> DataFrame:
     """``url``, ``page``: of each URL the page fetched last; URLs without any page are left out.
 
-    One aggregate with map-side combination; a page's rows never gather beyond their URL's newest.
+    Only the pages of URLs with several rows are shuffled, and combined on the map side; which URLs these are is found from the
+    URLs alone.
     """
-    order = F.col(at) if at else F.col(page)
     rows = crawl.where(F.col(page).isNotNull() & F.col(url).isNotNull())
-    return rows.groupBy(F.col(url).alias("url")).agg(F.max_by(F.col(page), F.struct(order, F.col(page))).alias("page"))
+    rows = rows.select(F.col(url).alias("url"), F.col(page).alias("page"), (F.col(at) if at else F.lit(0)).alias("at"))
+    several = stage(rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("url"), "several")
+    newest = rows.join(small(several), "url", "left_semi").groupBy("url").agg(F.max_by("page", F.struct("at", "page")).alias("page"))
+    return rows.join(small(several), "url", "left_anti").select("url", "page").unionByName(newest)
 
 
 def clean(pages: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork.functions import html
-from skeinwork.functions.text import exploded_tokens, raw_tokens, stem_udf, with_stems
+from skeinwork.functions.text import STOP_WORDS, raw_tokens, stem, stem_udf
 from skeinwork.operators.ranking import running_sum
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.sources.tables import normal_word
@@ -19,30 +24,53 @@ TOP_TERMS, MINOR, MAJOR = 50, "@!#", "@@!!##"
 FRAGMENT = 10_000
 
 
-def term_frequencies(pages: DataFrame, stemmed: bool = True) -> DataFrame:
-    """``url``, ``field``, ``word``, ``cnt``: words of URL and title (1), description (2) and body (3) of each page.
+_WORD = re.compile(r"(?<![0-9A-Za-z_])[a-z]{3,}(?![0-9A-Za-z_])")
+_COUNTS = T.StructType([T.StructField("url", T.StringType()), T.StructField("field", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("cnt", T.LongType())])
 
-    Words are counted before they are stemmed, so the stemmer sees each word of a page and field once.
+
+def term_frequencies(pages: DataFrame, stemmed: bool = True, top: int | None = None) -> DataFrame:
+    """``url``, ``field``, ``word``, ``cnt``: words of URL and title (1), description (2) and body (3) of each page; with ``top`` of the body
+    only that many words with more than one occurrence, most frequent first, ties by word.
+
+    ``pages`` has one row for each URL, so a page's words are counted where the page is: a narrow pass without a shuffle.
     """
     page = F.col("page")
-    fields = F.array(
-        F.struct(F.lit(TITLE).alias("field"), F.concat_ws(" ", "url", html.title(page)).alias("text")),
-        F.struct(F.lit(DESCRIPTION).alias("field"), html.description(page).alias("text")),
-        F.struct(F.lit(BODY).alias("field"), html.body_text(page).alias("text")),
-    )
-    words = exploded_tokens(pages.select("url", F.inline(fields)), F.col("text"), "url", "field")
-    counts = words.groupBy("url", "field", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    if stemmed:
-        counts = with_stems(counts).groupBy("url", "field", "word").agg(F.sum("cnt").alias("cnt"))
-    return counts
+    texts = pages.select("url", F.lower(F.concat_ws(" ", "url", html.title(page))).alias("t1"), F.lower(html.description(page)).alias("t2"), F.lower(html.body_text(page)).alias("t3"))
+    stop = frozenset(STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        for batch in batches:
+            rows, fields, words, counts = [], [], [], []
+            for field in (TITLE, DESCRIPTION, BODY):
+                for i, text in enumerate(batch.column(field).to_pylist()):
+                    found = Counter(_WORD.findall(text)) if text else Counter()
+                    if stemmed:
+                        whole: Counter[str] = Counter()
+                        for w, n in found.items():
+                            if w not in stop:
+                                if (x := stems.get(w)) is None:
+                                    x = stems[w] = stem(w)
+                                whole[x] += n
+                    else:
+                        whole = Counter({w: n for w, n in found.items() if w not in stop})
+                    items = whole.items()
+                    if top is not None and field == BODY:
+                        items = heapq.nsmallest(top, (x for x in items if x[1] > 1), key=lambda x: (-x[1], x[0]))
+                    rows += [i] * len(items)
+                    fields += [field] * len(items)
+                    words += [w for w, _ in items]
+                    counts += [n for _, n in items]
+            if len(stems) > 1_000_000:
+                stems.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(fields, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=_COUNTS.names)
+
+    return texts.mapInArrow(run, _COUNTS)
 
 
 def postings(pages: DataFrame, stemmed: bool = True, top: int = TOP_TERMS) -> DataFrame:
-    """``word``, ``field``, ``url``, ``cnt``: of the body only the ``top`` words of a page with more than one occurrence, ties by word."""
-    tf = term_frequencies(pages, stemmed)
-    place = F.row_number().over(Window.partitionBy("url").orderBy(F.col("cnt").desc(), "word"))
-    body = tf.where((F.col("field") == BODY) & (F.col("cnt") > 1)).withColumn("place", place).where(F.col("place") <= top).drop("place")
-    return tf.where(F.col("field") != BODY).unionByName(body).select("word", "field", "url", "cnt")
+    """``word``, ``field``, ``url``, ``cnt``: of the body only the ``top`` words of a page with more than one occurrence."""
+    return term_frequencies(pages, stemmed, top).select("word", "field", "url", "cnt")
 
 
 def packed_index(rows: DataFrame, min_postings: int = 1, fragment: int = FRAGMENT) -> DataFrame:
