@@ -16,6 +16,7 @@ from skeinwork.functions import html
 from skeinwork.functions.text import STOP_WORDS, raw_tokens, stem, stem_udf
 from skeinwork.operators.ranking import running_sum
 from skeinwork.operators.unpack import POSTING, unpack_values
+from skeinwork.session import stage
 from skeinwork.sources.tables import normal_word
 
 TITLE, DESCRIPTION, BODY = 1, 2, 3
@@ -84,7 +85,8 @@ def packed_index(rows: DataFrame, min_postings: int = 1, fragment: int = FRAGMEN
         rows = rows.join(enough, "word", "left_semi")
     entry = F.concat("url", F.lit(MINOR), F.col("cnt").cast("string"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", entry.alias("e")))), lambda x: x.e), MAJOR)
-    numbered = running_sum(rows, ["word", "field"], [F.col("url")], F.lit(1), "ordinal")
+    # ranges are found by a sample: without the table, pages would be read and counted twice
+    numbered = running_sum(stage(rows, "postings"), ["word", "field"], [F.col("url")], F.lit(1), "ordinal")
     part = F.floor(F.col("ordinal") / fragment).cast("int").alias("part")
     return numbered.groupBy("word", "field", part).agg(F.count(F.lit(1)).alias("n"), listed.alias("list"))
 
@@ -126,6 +128,6 @@ def positional_lists(places: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     """``word``, ``part``, ``list``: ``url:1 5 9`` entries by number of places, most first, then by url, in parts of ``fragment`` entries."""
     entry = F.concat("url", F.lit(":"), F.array_join(F.transform("places", lambda p: p.cast("string")), " "))
     rows = places.select("word", "url", (-F.size("places")).alias("n"), entry.alias("e"))
-    numbered = running_sum(rows, ["word"], [F.col("n"), F.col("url")], F.lit(1), "ordinal")
+    numbered = running_sum(stage(rows, "places"), ["word"], [F.col("n"), F.col("url")], F.lit(1), "ordinal")
     order = F.array_sort(F.collect_list(F.struct("n", "url", "e")))
     return numbered.groupBy("word", F.floor(F.col("ordinal") / fragment).cast("int").alias("part")).agg(F.array_join(F.transform(order, lambda x: x.e), ",").alias("list"))
