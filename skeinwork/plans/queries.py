@@ -588,10 +588,18 @@ def get_cache(spark: SparkSession, root: str) -> DataFrame:
     SELECT url, CAST(min(depth) AS INT) AS depth FROM t GROUP BY url"""
 )
 def crawl_frontier(spark: SparkSession, root: str) -> DataFrame:
+    """A bounded form that the recursive SQL can check: one seed, four rounds. ``crawl_frontier_whole`` is the whole job."""
     seeds = table(spark, root, "graph").where("link LIKE '%view?id=%'").agg(F.min("url").alias("url"))
     return crawl.frontier(seeds, corpus.edges(_stored_graph(spark, root)), max_depth=4)
 
 
+@query()
+def crawl_frontier_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Every page within reach of the least URL of each host, to the full depth of a crawl."""
+    seeds = table(spark, root, "graph").where("url IS NOT NULL").groupBy(F.regexp_extract("url", urls.PARTS, 3)).agg(F.min("url").alias("url"))
+    return crawl.frontier(seeds, corpus.edges(_stored_graph(spark, root)))
+
+
 @query()
 def crawl_replay(spark: SparkSession, root: str) -> DataFrame:
     """The crawl from the least URL of each host on."""

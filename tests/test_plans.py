@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from skeinwork.plans import corpus, crawl, index, pagerank, search
 
 PAGES = [
@@ -164,6 +165,27 @@ def test_frontier_and_robots(spark):
     assert {r.url: r.delay_ms for r in crawl.allowed(known, hosts).collect()} == {"http://h/yes": 2000, "http://k": 400, "http://q/no": 400}
 
 
+def reached(links, seeds, depth):
+    """Plain breadth-first search: url -> least depth."""
+    found = dict.fromkeys(seeds, 0)
+    newest = list(seeds)
+    for d in range(1, depth + 1):
+        newest = sorted({t for s in newest for t in links.get(s, []) if t not in found and len(t) <= 300})
+        found |= dict.fromkeys(newest, d)
+    return found
+
+
+def test_whole_frontier(spark, tmp_path):
+    links = {f"http://h.test/view?id={i:02}": [f"http://h.test/view?id={i + 1:02}", "http://h.test/view?id=00"] for i in range(40)}
+    links |= {"http://k.test/b": ["http://h.test/view?id=09", "http://k.test/c"], "http://k.test/a": ["http://k.test/b", "http://k.test/" + "d" * 300], "http://z.test/": []}
+    spark.createDataFrame([(u, " ".join(to) or None) for u, to in links.items()] + [(None, "http://q.test/")], "url string, link string").write.parquet(f"{tmp_path}/graph.parquet")
+    seeds = ["http://h.test/view?id=00", "http://k.test/a", "http://z.test/"]
+    expected = reached(links, seeds, crawl.MAX_DEPTH)
+    assert max(expected.values()) == crawl.MAX_DEPTH == 15 and "http://h.test/view?id=23" not in expected
+    got = entry.queries()["crawl_frontier_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) and {r.url: r.depth for r in got} == expected
+
+
 def test_replay(spark):
     body = lambda *to: "<body>" + "".join(f"<a href='{t}'>x</a>" for t in to) + "</body>"
     rows = [
