@@ -40,12 +40,14 @@ def divergence_scores(tf: DataFrame, document: str, term: str, frequency: str, c
     return rows.withColumn("score", bits / (t + 1))
 
 
+def placed_terms(scores: DataFrame, document: str, term: str) -> DataFrame:
+    """All rows with their ``place`` within the document, from 1, by falling score (ties: by term)."""
+    return scores.withColumn("place", F.row_number().over(Window.partitionBy(document).orderBy(F.col("score").desc(), F.col(term))))
+
+
 def leading_terms(scores: DataFrame, document: str, term: str, k: int) -> DataFrame:
     """The ``k`` rows of each document with the highest score (ties: by term), and their ``place`` from 1.
 
     The limit is pushed below the shuffle (window group limit), so no task gets all terms of a large document.
     """
-
-
-    place = F.row_number().over(Window.partitionBy(document).orderBy(F.col("score").desc(), F.col(term)))
-    return scores.withColumn("place", place).where(F.col("place") <= k)
+    return placed_terms(scores, document, term).where(F.col("place") <= k)

@@ -122,10 +122,18 @@ def _scored(spark: SparkSession, root: str) -> DataFrame:
     return distinctive.divergence_scores(stage(rows, "frequencies"), "url", "word", "tf")
 
 
+def _report(terms: DataFrame) -> DataFrame:
+    return terms.select("url", "word", "place", "tf", "n_docs", F.round("score", 6).alias("score"))
+
+
 def p7_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The scores of all terms of every page, with their place: the page's most distinctive term has place 1."""
+    return _report(distinctive.placed_terms(_scored(spark, root), "url", "word"))
+
+
+def p7_leading(spark: SparkSession, root: str) -> DataFrame:
     """The ten most distinctive terms of every page."""
-    out = distinctive.leading_terms(_scored(spark, root), "url", "word", TOP_TERMS)
-    return out.select("url", "word", "place", "tf", "n_docs", F.round("score", 6).alias("score"))
+    return _report(distinctive.leading_terms(_scored(spark, root), "url", "word", TOP_TERMS))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -200,7 +208,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": nearcopies.p1_found, "p1_groups": nearcopies.p1_groups, "p2_found": p2_found, "p2_scores": p2_scores, "p5_found": p5_found, "p5_crawl_bodies": p5_crawl_bodies,
-    "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_packing": p8_packing,
+    "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p7_leading": p7_leading, "p8_found": p8_found, "p8_packing": p8_packing,
     "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean, "p10_found": p10_found, "p10_repetition": p10_repetition,
 }
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skeinwork.llm import distinctive, fusion, leakage, packing, repetition
+from skeinwork.llm import distinctive, fusion, leakage, packing, registry, repetition
 from skeinwork.llm.words import hashed, plain, words_of
 from skeinwork.operators.unpack import buffers
 
@@ -216,6 +216,18 @@ def test_divergence(spark):
     assert all(r.place <= 2 for r in top) and {r.url for r in top} == {r[0] for r in rows}
 
 
+def test_scores_of_all_terms(spark, tmp_path):
+    rows = [(f"http://a.test/{d}", f"w{t:02}", 1 + (d * 7 + t * t) % 9) for d in range(4) for t in range(25) if d == 0 or t % (d + 1)]
+    spark.createDataFrame([(w, None, f"{u}@!#{n}") for u, w, n in rows], "word string, priority1 string, priority3 string").write.parquet(f"{tmp_path}/inv_index.parquet")
+    spark.createDataFrame([], "url string, title string").write.parquet(f"{tmp_path}/doc_word_count.parquet")
+    got = registry.QUERIES["p7_scores"](spark, str(tmp_path)).collect()
+    assert {(r.url, r.word): r.score for r in got} == pytest.approx(brute_scores(rows), abs=1e-6) and len(got) == len(rows)
+    for url in {r.url for r in got}:
+        own = sorted((r for r in got if r.url == url), key=lambda r: r.place)
+        assert [r.place for r in own] == list(range(1, len(own) + 1)) and [r.score for r in own] == sorted((r.score for r in own), reverse=True)
+    assert {(r.url, r.word) for r in registry.QUERIES["p7_leading"](spark, str(tmp_path)).collect()} == {(r.url, r.word) for r in got if r.place <= registry.TOP_TERMS}
+
+
 def test_divergence_edges(spark):
     rows = [("a", "x", 2), ("a", None, 1), (None, "x", 1), ("a", "y", None), ("a", "z", 0)]
     df = spark.createDataFrame(rows, "url string, word string, tf long")
