@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
-from skeinwork.llm.words import WORD, distinct, pieces, scramble
+from skeinwork.llm.words import MIX, WORD, distinct, pieces, scramble
 from skeinwork.operators.joins import small
 from skeinwork.session import stage
 
@@ -31,6 +31,8 @@ WORD_BITS, PAIR_BITS, CHUNKS = 20, 21, 32
 SUPPORT, LEAST_PAGES = 0.002, 3
 #: Repeats of a pair within a page, and times its usual rate, beyond which it is an excessive collocation.
 REPEATS, EXCESS = 4, 8.0
+#: Contents that share one of MARKS keys, each of MARK_HASHES minimum hashes of their word pairs, are near copies.
+MARKS, MARK_HASHES = 8, 3
 #: Segments with fewer words are judged together with the like ones next to them.
 SHORT = 8
 #: Mean score of neighbours below which words are no sentences.
@@ -55,8 +57,29 @@ def page_content(source: str) -> list[tuple[list[str], int]]:
     return out
 
 
+_MUL = scramble(np.arange(1, MARKS * MARK_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def content_marks(words: np.ndarray, key: int) -> np.ndarray:
+    """``MARKS`` keys of a content: two contents of which a share s of the word pairs is common have each of them in common with a
+    chance of s ** MARK_HASHES. A content without pairs has its own ``key`` in all of them."""
+    pairs = distinct((words[:-1].astype(np.uint64) << np.uint64(32)) | words[1:].astype(np.uint64))
+    if not len(pairs):
+        return np.full(MARKS, key, np.int64)
+    x = scramble(pairs)
+    low = np.full(len(_MUL), 2**64 - 1, np.uint64)
+    for i in range(0, len(x), 4096):
+        low = np.minimum(low, scramble(x[i : i + 4096, None] * _MUL).min(axis=0))
+    out = np.zeros(MARKS, np.uint64)
+    for heads in low.reshape(MARKS, MARK_HASHES).T:
+        out = scramble(out * MIX + heads)
+    return out.view(np.int64)
+
+
+_MARKS = [f"m{i}" for i in range(MARKS)]
 _CONTENT = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("k", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("kinds", T.BinaryType()),
+    *(T.StructField(m, T.LongType()) for m in _MARKS),
 ])
 
 
@@ -65,20 +88,22 @@ def _contents(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
         known: dict[str, int] = {}
         for whole in batches:
             for batch in pieces(whole, 1, 1000):
-                words, sizes, kinds, keys = [], [], [], []
+                words, sizes, kinds, keys, marks = [], [], [], [], []
                 for p in batch.column(1).to_pylist():
                     parts = page_content(p)
                     flat = [w for ws, _ in parts for w in ws]
                     for w in set(flat):
                         if w not in known:
                             known[w] = xxhash.xxh32_intdigest(w)
-                    words.append(np.fromiter(map(known.__getitem__, flat), np.uint32, len(flat)).tobytes())
+                    hashes = np.fromiter(map(known.__getitem__, flat), np.uint32, len(flat))
+                    words.append(hashes.tobytes())
                     sizes.append(np.array([len(ws) for ws, _ in parts], np.uint32).tobytes())
                     kinds.append(bytes(k for _, k in parts))
                     keys.append(xxhash.xxh3_64_intdigest(words[-1]) - 2**63)
+                    marks.append(content_marks(hashes, keys[-1]))
                     if len(known) > 2_000_000:
                         known.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in (words, sizes, kinds))], names=_CONTENT.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in (words, sizes, kinds)), *map(pa.array, np.array(marks).T.copy())], names=_CONTENT.names)
 
     return df.where(df[page_column].isNotNull() & df[id_column].isNotNull()).select(df[id_column].cast("string"), df[page_column]).mapInArrow(run, _CONTENT)
 
@@ -139,6 +164,19 @@ def no_counts() -> Counts:
     return Counts(np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64), 0)
 
 
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """``rows`` with one content of each group of copies and near copies.
+
+    Contents with the same ``k`` are one; then, mark by mark, those left that share it. Only keys move; the content that stays
+    is the one with the least ``k``.
+    """
+    left = rows.select("k", "r", *_MARKS)
+    for key in ["k", *_MARKS]:
+        left = left.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct("k", "r", *_MARKS)).alias("m")).select("m.*")
+    copies = stage(rows.select("r").join(left.select("r"), "r", "left_anti"), "copies")
+    return rows.join(small(copies), "r", "left_anti")
+
+
 def corpus_counts(contents: DataFrame) -> Counts:
     """Counts of all pages: each task adds up its own tables, the tables are added up chunk by chunk, and their fixed number
     of entries (2^WORD_BITS + 2 * 2^PAIR_BITS) comes to the driver."""
@@ -215,7 +253,8 @@ def incoherence(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     below ``COHERENT``: keyword strings, tag lists, bare links), ``loose_share`` and ``mean_pmi``.
 
     Own content is the main body of the page, hidden text included, without menus, notices and the like; headings count
-    as words, never as loose ones. Pages are parsed once; counts cover all of them.
+    as words, never as loose ones. Pages are parsed once and all get a row; the counts take one content of each group of copies
+    and near copies, so that however often a page is mirrored its pairs don't support themselves.
 
     Defined results: rows with a null id or page are left out; repeated records are one; an id with several pages gets the
     row with the largest share; pages without content have 0 words and a share of 0.0; an empty table gives no rows.
@@ -224,7 +263,7 @@ def incoherence(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     first = rows.groupBy("id", "k").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
     again = rows.select("id", "k", "r").join(small(stage(first.where("n > 1").select("id", "k", F.col("r").alias("kept")), "repeated")), ["id", "k"]).where("r <> kept").select("r")
     rows = rows.join(small(stage(again, "repeats")), "r", "left_anti")
-    counts = df.sparkSession.sparkContext.broadcast(corpus_counts(rows))
+    counts = df.sparkSession.sparkContext.broadcast(corpus_counts(one_of_each(rows)))
     schema = "id string, n_words bigint, loose_words bigint, mean_pmi double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

@@ -118,6 +118,23 @@ def test_spam(spark):
     assert got["s0"].mean_pmi < -0.7 < 0 < got["p0"].mean_pmi + 0.4
 
 
+def mirrored(i, near):
+    """A list of tags of its own words; near copies differ in one of them."""
+    names = [f"tag{k} item{k * k}" for k in range(80)]
+    if near:
+        names[i * 7 % 80] = f"city{i} place{i}"
+    return ("c" + str(i), f"<body><div><h1>Tags</h1><p>{', '.join(names)}</p></div></body>")
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_mirrored_spam(spark, near):
+    rows = spam_rows()
+    copies = [mirrored(i, near) for i in range(len(rows) // 2)]
+    got = coherence.incoherence(spark.createDataFrame(rows + copies, "id string, page string"), "id", "page").collect()
+    assert len(got) == len(rows) + len(copies)
+    assert {r.id for r in got if r.loose_share > coherence.SPAM_SHARE} == {"s0", "s1", "s2", "s3"} | {c for c, _ in copies}
+
+
 def test_spam_edges(spark):
     empty = spark.createDataFrame([], "id string, page string")
     assert coherence.incoherence(empty, "id", "page").count() == 0
