@@ -274,16 +274,20 @@ SHARE = frozenset("share shares this tweet retweet pin it post mail email e-mail
 SHARE_FIRST = SHARE | {""}
 SHARE_VERBS = frozenset("share tweet pin print email mail like save".split())
 FIGURES = frozenset("0123456789")
-COMMENTS = re.compile(r"^(?:\d+|no|view all|show|all|leave a|add a|post a|write a) (?:reader |user )?(?:comments?|replies|reply|responses?)\b|\bjoin the (?:discussion|conversation|debate)\b", re.I)
+COMMENTS = re.compile(
+    r"^(?:\d+|no|view all|show|all|leave a|add a|post a|write a) (?:reader |user )?(?:comments?|replies|reply|responses?)(?: yet| below| here)?(?:\W*$|\s*[|·(]|\s*[-–—:]\s*(?:join|add|leave|post|write|view|show|log|sign)\b)"
+    r"|^\W*join the (?:discussion|conversation|debate)(?: below| here)?\W*$",
+    re.I,
+)
 PROMOTION = re.compile(
-    r"^advertisements?\b|^(?:sponsored|promoted|promotion|advertorial)\b|\bunsubscribe\b|\bnewsletters?\b.*\b(?:sign up|subscribe|inbox|every|stories|weekly|daily)\b|\b(?:sign up|subscribe|register)\b.*\b(?:newsletter|updates|alerts)\b"
-    r"|\b(?:download|get|install) (?:the|our)\b.{0,60}\bapp\b|\b(?:free|fast|next-day) (?:delivery|shipping)\b.{0,80}\b(?:shop|store|order|orders|basket|baskets)\b|\benjoy(?:ing|ed) (?:this|the) (?:article|story|piece)\b"
-    r"|\b(?:without|free of|no) ad(?:vert)?s\b|\bbecome a (?:member|supporter|subscriber)\b|\bsupport (?:our|independent) journalism\b|\bour (?:best|latest) (?:offers|deals)\b|\b(?:the )?article continues below\b",
+    r"^advertisements?\b(?:\W*$|\W+(?:the )?article continues below\b)|^(?:sponsored|promoted|promotion|advertorial)\b(?:\W*$|\s*[-–—:|])|^unsubscribe\b|^(?:sign up|subscribe|register)\b.*\b(?:newsletters?|updates|alerts)\b|\bour (?:\w+ )?newsletters?\b.*\b(?:sign up|subscribe|inbox|every|stories|weekly|daily)\b"
+    r"|^newsletters?\b.*\b(?:sign up|subscribe|inbox)\b|^(?:download|get|install) (?:the|our)\b.{0,60}\bapp\b|^(?:free|fast|next-day) (?:delivery|shipping)\b.{0,80}\b(?:shop|store|order|orders|basket|baskets)\b|^enjoy(?:ing|ed) (?:this|the) (?:article|story|piece)\b"
+    r"|^become a (?:member|supporter|subscriber)\b|^support (?:our|independent) journalism\b|^our (?:best|latest) (?:offers|deals)\b|^(?:the )?article continues below\b",
     re.I,
 )
 NOTICE = re.compile(
-    r"\bcookies?\b.{0,90}\b(?:visits?|settings?|accept|consent|ones|session|analytics|site)\b|\b(?:accept|use|place|sets?)\b.{0,60}\bcookies?\b|\ball rights reserved\b|^(?:©|\(c\)|copyright)\s|\bterms of use\b|\bprivacy (?:policy|matters)\b"
-    r"|\bstores? small files on your device\b|\binformation on your device\b|\bis a trading name of\b|\bregistered office\b|\bresponsible for the content of external links\b|\bfound a mistake\b.*\beditors?\b",
+    r"^(?:we|this (?:site|website|page))\b.{0,30}\b(?:use|uses|place|places|set|sets) (?:\w+ )?cookies?\b|^before you continue\b.*\bcookies?\b|^ok, got it\b|(?:^|[|·] ?)(?:cookie settings|accept (?:all )?cookies)(?: ?[|·]|\W*$)|\ball rights reserved\.|\ball rights reserved$|^©\s|^(?:\(c\)|copyright)\s\d"
+    r"|\bterms of use, privacy policy\b|(?:^|[|·] ?)(?:terms of use|privacy policy)(?: ?[|·]|\W*$)|^your privacy matters\b|^this site stores small files on your device\b|\bregistered office: |\bis not responsible for the content of external links\b|\bfound a mistake\? .*\beditors?\b",
     re.I,
 )
 

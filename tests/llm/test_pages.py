@@ -51,6 +51,20 @@ def test_no_furniture(text):
     assert not furniture(text)
 
 
+PROSE = [
+    "After the vote the ministers were asked to join the debate, which had by then gone on for most of the week.", "No comments were made by the council before the vote.", "The new privacy policy of the bank was read by nobody, as a judge found in May.",
+    "The firm moved its registered office to the harbor, where rents are low.", "She baked cookies for the school, small ones with nuts.", "A newsletter that the monks printed every week told the valley what the abbey had decided.",
+    "Readers who want to support independent journalism have few papers left in the county.", "The terms of use of the well were set by the village in 1840.",
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_with_words_of_furniture(text):
+    assert not furniture(text)
+    page = f"<body><article>\n<h1>A walk</h1>\n<p>{SENTENCES[0]}</p>\n<p>{text}</p>\n<p>{SENTENCES[3]}</p>\n</article></body>"
+    assert body_lines(page) == [1, 2, 3, 4]
+
+
 def test_hidden_text_and_broken_html():
     text = f"<body><div><p>{SENTENCES[0]}<p>{SENTENCES[1]}</i></b>\n<span style='display: none'>secret words of some length here</span>\n<p hidden>also hidden</p>\n<!-- no --><script>var x = '<p>no</p>'"
     page = Page(text, True)
