@@ -14,35 +14,44 @@ from pyspark.sql import types as T
 PARTS = r"^((?i:https?))://([^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(:[0-9]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 MEDIA = r"(?i)\.(jpg|jpeg|gif|png|txt)$"
 ORIGIN = r"^((?i:https?)://[^/?#]*)"
-
-
-def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, PARTS, n)
+PATH = r"^(?i:https?)://[^/?#]*([^?#]*)"
+HOST = r"(?>\[[^\]]*\]|[^/?#:]*)"
+USABLE = r"^(?i:https?)://(?:[^/?#@]*@)?+[^/?#:]"
+# a URL whose host has no port behind it, or an empty one; a URL that has no path
+NO_PORT = rf"^((?i:{{}})://(?:[^/?#@]*@)?+{HOST}):?+(?![0-9])"
+NO_PATH = r"^([^/?]*//[^/?]*)(?=\?|$)"
 
 
 def normal_url(url: Column) -> Column:
     """The form in which a URL is crawled: with its port, ``/`` for an empty path, without fragment, query kept.
 
-    Null for other schemes than http and https, and for pictures and plain text by the ending of the path.
+    Null for other schemes than http and https, and for pictures and plain text by the ending of the path. Each step is one match
+    over the URL, so that an expression of it stays small wherever it is used.
     """
-    scheme = F.lower(_part(url, 1))
-    port = F.when(_part(url, 4).isin("", ":"), F.when(scheme == "https", ":443").otherwise(":80")).otherwise(_part(url, 4))
-    path = F.when(_part(url, 5) == "", "/").otherwise(_part(url, 5))
-    built = F.concat(_part(url, 1), F.lit("://"), _part(url, 2), _part(url, 3), port, path, _part(url, 6))
-    return F.when((scheme != "") & (_part(url, 3) != "") & ~_part(url, 5).rlike(MEDIA), built)
+    bare = F.substring_index(url, "#", 1)
+    ported = F.regexp_replace(bare, NO_PORT.format("http"), "$1:80")
+    ported = F.regexp_replace(ported, NO_PORT.format("https"), "$1:443")
+    return F.when(bare.rlike(USABLE) & ~F.substring_index(bare, "?", 1).rlike(MEDIA), F.regexp_replace(ported, NO_PATH, "$1/"))
 
 
 def _without_dots(url: Column) -> Column:
-    """A URL without ``.`` and ``..`` steps in its path (up to eight of the latter)."""
-    url = F.regexp_replace(url, r"/(?:\./)+", "/")
-    for _ in range(8):
-        url = F.regexp_replace(url, r"^((?i:https?)://[^/?#]*(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    return F.regexp_replace(url, r"^((?i:https?)://[^/?#]*)/(?:\.\./)+", "$1/")
+    """A URL without ``.`` and ``..`` steps in its path, however many; steps above the root are dropped."""
+    origin, path = F.regexp_extract(url, ORIGIN, 1), F.regexp_extract(url, PATH, 1)
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1)
+    folded = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.array_append(kept, s)),
+    )
+    # a dot at the end names a folder
+    folded = F.concat(folded, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    return F.concat(origin, F.lit("/"), F.array_join(folded, "/"), F.substring(url, 1 + F.length(origin) + F.length(path), F.length(url)))
 
 
 def resolve(base: Column, href: Column) -> Column:
     """``href`` as seen from the page ``base``; null for targets such as ``mailto:``."""
-    scheme = F.regexp_extract(base, r"^([a-zA-Z]+:)", 1)
+    scheme = F.substring_index(base, "//", 1)
     origin = F.regexp_extract(base, ORIGIN, 1)
     folder = F.regexp_extract(base, r"^((?i:https?)://[^/?#]*(?:/(?:[^?#]*/)?)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
@@ -50,13 +59,13 @@ def resolve(base: Column, href: Column) -> Column:
     href = F.trim(href)
     full = (
         F.when(href.rlike(r"^(?i:https?)://"), href)
-        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("?"), F.concat(bare, href))
+        .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
         .otherwise(F.concat(folder, href))
     )
-    return F.when(full.contains("/."), _without_dots(full)).otherwise(full)
+    return F.when(F.substring_index(full, "?", 1).contains("/."), _without_dots(full)).otherwise(full)
 
 
 def split_url(url: Column) -> Column:

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import html
 from skeinwork.functions.text import token_count
 from skeinwork.functions.urls import normal_url, resolve, url_key
-from skeinwork.operators.joins import small
-from skeinwork.session import stage
 
 
 def latest_pages(crawl: DataFrame, url: str = "url", page: str = "page", at: str | None = "crawled_at") -> DataFrame:
     """``url``, ``page``: of each URL the page fetched last; URLs without any page are left out.
 
-    Only the pages of URLs with several rows are shuffled, and combined on the map side; which URLs these are is found from the
-    URLs alone.
+    One pass over the pages and one shuffle of them by URL, which spreads the work of what reads them and which later steps by URL
+    share. Each task keeps only the newest row of a URL before the shuffle, so a URL with many rows is no hot key.
     """
     rows = crawl.where(F.col(page).isNotNull() & F.col(url).isNotNull())
     rows = rows.select(F.col(url).alias("url"), F.col(page).alias("page"), (F.col(at) if at else F.lit(0)).alias("at"))
-    several = stage(rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("url"), "several")
-    newest = rows.join(small(several), "url", "left_semi").groupBy("url").agg(F.max_by("page", F.struct("at", "page")).alias("page"))
-    return rows.join(small(several), "url", "left_anti").select("url", "page").unionByName(newest)
+    newest = Window.partitionBy("url").orderBy(F.desc("at"), F.desc("page"))
+    return rows.withColumn("n", F.row_number().over(newest)).where("n = 1").select("url", "page")
 
 
 def clean(pages: DataFrame) -> DataFrame:
@@ -30,11 +27,20 @@ def clean(pages: DataFrame) -> DataFrame:
     return pages.where("page IS NOT NULL").select(url_key(F.col("url")).alias("url_hash"), "url", html.without_scripts(F.col("page")).alias("page"))
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """``src``, ``dst``: the distinct outlinks of each page in normal form; no row for a page without any.
+
+    Links are resolved as rows, in compiled code, each distinct target of a page once.
+    """
+    hrefs = pages.select("url", F.explode(F.array_distinct(html.hrefs(F.col("page")))).alias("href"))
+    return hrefs.select(F.col("url").alias("src"), normal_url(resolve(F.col("url"), F.col("href"))).alias("dst")).where("dst IS NOT NULL").distinct()
+
+
 def link_graph(pages: DataFrame) -> DataFrame:
     """``url``, ``links``: the distinct outlinks of each page in normal form, in ascending order."""
-    base = F.col("url")
-    found = F.transform(html.hrefs(F.col("page")), lambda h: normal_url(resolve(base, h)))
-    return pages.select("url", F.array_sort(F.array_distinct(F.filter(found, lambda u: u.isNotNull()))).alias("links"))
+    hrefs = pages.select("url", F.explode_outer(F.array_distinct(html.hrefs(F.col("page")))).alias("href"))
+    found = hrefs.select("url", normal_url(resolve(F.col("url"), F.col("href"))).alias("dst"))
+    return found.groupBy("url").agg(F.array_sort(F.collect_set("dst")).alias("links"))
 
 
 def edges(graph: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.urls import normal_url, robots_delay_udf
 from skeinwork.operators.ranking import running_sum
-from skeinwork.plans.corpus import edges, link_graph
+from skeinwork.plans.corpus import page_links
 from skeinwork.session import partitioned, stage
 
 MAX_DEPTH, MAX_URL = 15, 300
@@ -61,8 +61,7 @@ def replay(seeds: DataFrame, pages: DataFrame, hosts: DataFrame, max_depth: int
         fit &= ~F.col("url").contains(piece)
     known = pages.where("url IS NOT NULL").groupBy("url").agg(F.max(F.struct("host", "response_code", "lang", F.sha2("page", 256).alias("digest"))).alias("f"))
     known = stage(known.select("url", "f.*"), "fetches")
-    texts = pages.where("url IS NOT NULL AND page IS NOT NULL").select("url", "page").distinct()
-    links = stage(edges(link_graph(texts)).distinct(), "links")
+    links = stage(page_links(pages.where("url IS NOT NULL AND page IS NOT NULL").select("url", "page")), "links")
     named = stage(known.select("url", normal_url(F.col("url")).alias("normal")), "names")
     todo = seeds.select("url").where("url IS NOT NULL").where(fit).distinct()
     fetched = None
