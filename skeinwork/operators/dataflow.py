@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.operators.lists import PART, listed
 from skeinwork.sources.store import Catalog
 
 VALUE = T.StructType([T.StructField("value", T.StringType())])
 PAIR = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 Step = Column | Callable[..., Any]
+#: Keys whose totals a task keeps at a time while it folds.
+HELD_KEYS = 200_000
 
 
 def _text(x: Any) -> str | None:
@@ -122,9 +125,15 @@ class Values:
     # -- groups
 
     def group_concat(self, key: Step) -> Pairs:
-        """(key, its elements joined by commas, in order)."""
+        """(key, its elements joined by commas, in order): one string a key, so for keys whose elements fit in a task; else
+        ``group_parts``."""
         return self.key_by(key).fold_by_key_with(F.array_join(F.array_sort(F.collect_list("value")), ","))
 
+    def group_parts(self, key: Step, size: int = PART) -> DataFrame:
+        """``group_concat`` for keys of any size: ``key``, ``part``, ``n``, ``value`` with at most ``size`` elements in each part; no task
+        gets more than that of a hot key."""
+        return self.key_by(key).wide_parts(size).withColumn("value", F.array_join("values", ",")).drop("values")
+
     def distinct(self) -> Values:
         return Values(self.df.distinct())
 
@@ -210,13 +219,13 @@ class Pairs:
         """One pair for each key with an aggregate of its values; combined on the map side where the aggregate allows it."""
         return Pairs(self.df.groupBy("key").agg(how.cast("string").alias("value")).where("value IS NOT NULL"))
 
-    def fold_by_key(self, zero: str, step: Callable[[str, str], str], commutative: bool = False, salts: int = 32) -> Pairs:
+    def fold_by_key(self, zero: str, step: Callable[[str, str], str], commutative: bool = False) -> Pairs:
         """One pair for each key: its values, in ascending order, combined by a Python function from ``zero`` on.
 
         With ``commutative`` the function must be associative and commutative, with the neutral element ``zero``: values are then
-        folded in ``salts`` pieces for each key first, so that no task holds all values of a hot key. Otherwise a key's values
-        meet in one task, in order. A None as the result drops the key. A column aggregate (``fold_by_key_with``) is
-        the faster way wherever one exists.
+        folded where they are, and only one result for each key and task is shuffled, so that no task holds all values of a hot
+        key, equal ones or not. Otherwise a key's values meet in one task, in order. A None as the result drops the key. A column
+        aggregate (``fold_by_key_with``) is the faster way wherever one exists.
         """
         import pandas as pd
 
@@ -226,10 +235,23 @@ class Pairs:
                 total = step(total, v)
             return pd.DataFrame({"key": [frame["key"].iloc[0]], "value": [_text(total)]})
 
+        def flushed(totals: dict[str, str | None]) -> pa.RecordBatch:
+            got = [(k, v) for k, v in totals.items() if v is not None]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.string()), pa.array([_text(v) for _, v in got], pa.string())], names=["key", "value"])
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[str, str | None] = {}
+            for b in batches:
+                for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    totals[k] = step(totals.get(k, zero), v)
+                if len(totals) > HELD_KEYS:
+                    yield flushed(totals)
+                    totals = {}
+            yield flushed(totals)
+
         df = self.df.select("key", "value").where("key IS NOT NULL AND value IS NOT NULL")
         if commutative:
-            piece = F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int").alias("piece")
-            df = df.select("key", "value", piece).groupBy("key", "piece").applyInPandas(fold, PAIR).where("value IS NOT NULL")
+            df = df.mapInArrow(here, PAIR)
         return Pairs(df.groupBy("key").applyInPandas(fold, PAIR).where("value IS NOT NULL"))
 
     def join(self, other: Pairs) -> Pairs:
@@ -238,12 +260,18 @@ class Pairs:
         return Pairs(joined.select(F.col("l.key").alias("key"), F.concat_ws(",", "l.value", "r.value").alias("value")))
 
     def cogroup(self, other: Pairs) -> Pairs:
-        """(key, "[left values],[right values]") of every key of either side; values in ascending order, ``[]`` for none."""
+        """(key, "[left values],[right values]") of every key of either side; values in ascending order, ``[]`` for none. For keys
+        whose values fit in a task; else ``cogroup_parts``."""
         both = self.df.select("key", F.lit(0).alias("side"), "value").unionByName(other.df.select("key", F.lit(1).alias("side"), "value"))
         listed = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("value")))), ",") for s in (0, 1)]
         text = F.concat(F.lit("["), listed[0], F.lit("],["), listed[1], F.lit("]"))
         return Pairs(both.groupBy("key").agg(text.alias("value")))
 
+    def cogroup_parts(self, other: Pairs, size: int = PART) -> DataFrame:
+        """``cogroup`` for keys of any size: ``key``, ``side`` (0 or 1), ``part``, ``n``, ``values`` with at most ``size`` values in each part."""
+        both = self.df.select("key", F.lit(0).alias("side"), "value").unionByName(other.df.select("key", F.lit(1).alias("side"), "value"))
+        return listed(both, ["key", "side"], ["value"], "value", size).withColumnRenamed("list", "values")
+
     def semi_join(self, other: Pairs | Values) -> Pairs:
         """Pairs whose key the other side has."""
         return Pairs(self.df.join(_keys(other), "key", "left_semi"))
@@ -262,6 +290,10 @@ class Pairs:
         """One row for each key with its values, in order, as a list."""
         return self.df.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
+    def wide_parts(self, size: int = PART) -> DataFrame:
+        """``wide`` for keys of any size: ``key``, ``part``, ``n``, ``values`` with at most ``size`` values in each part."""
+        return listed(self.df, ["key"], ["value"], "value", size).withColumnRenamed("list", "values")
+
     def save_as_table(self, name: str, mode: str = "errorifexists") -> Pairs:
         """Saved in long form, one row for each pair, whatever the number of values of a key."""
         self.df.write.mode(mode).saveAsTable(name)

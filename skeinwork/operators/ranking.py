@@ -24,10 +24,15 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column], we
     ranged = stage(df.repartitionByRange(parts, *[F.col(g) for g in group], *order).withColumn("__part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy(*group, "__part").agg(F.sum("__w").alias("__sum"))
     ahead = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*group, "__part", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__shift"))
+    # of the groups in a range at most one began in an earlier one, so there are no more of these rows than ranges
+    sums = sums.withColumn("__shift", F.sum("__sum").over(ahead)).where("__shift IS NOT NULL").select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__part").alias("__at"), "__shift")
     within = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("__before", F.coalesce(F.sum("__w").over(within), F.lit(0)))
-    return ranged.join(sums, [*group, "__part"]).withColumn(name, F.col("__before") + F.col("__shift")).drop("__w", "__part", "__before", "__shift")
+    same = F.col("__part") == F.col("__at")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    out = ranged.join(F.broadcast(sums), same, "left").withColumn(name, F.col("__before") + F.coalesce("__shift", F.lit(0)))
+    return out.drop("__w", "__part", "__before", "__shift", "__at", *[f"__g_{g}" for g in group])
 
 
 def add_rank(df: DataFrame, group: str, score: str, name: str, total: int) -> DataFrame:

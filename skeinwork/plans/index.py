@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from skeinwork.functions import html
 from skeinwork.functions.text import STOP_WORDS, raw_tokens, stem, stem_udf
-from skeinwork.operators.ranking import running_sum
+from skeinwork.operators.lists import PART, listed
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.session import stage
 from skeinwork.sources.tables import normal_word
@@ -22,7 +22,7 @@ from skeinwork.sources.tables import normal_word
 TITLE, DESCRIPTION, BODY = 1, 2, 3
 TOP_TERMS, MINOR, MAJOR = 50, "@!#", "@@!!##"
 #: Postings in one stored list, at most.
-FRAGMENT = 10_000
+FRAGMENT = PART
 
 
 _WORD = re.compile(r"(?<![0-9A-Za-z_])[a-z]{3,}(?![0-9A-Za-z_])")
@@ -77,18 +77,15 @@ def postings(pages: DataFrame, stemmed: bool = True, top: int = TOP_TERMS) -> Da
 def packed_index(rows: DataFrame, min_postings: int = 1, fragment: int = FRAGMENT) -> DataFrame:
     """``word``, ``field``, ``part``, ``n``, ``list``: posting lists in their stored form, urls ascending, in parts of ``fragment`` postings.
 
-    For export only: searches work on the rows. Parts are of bounded size however frequent a word is, and its postings are
-    numbered over many tasks. ``min_postings`` leaves out words that have fewer postings over all fields.
+    For export only: searches work on the rows. Parts are of bounded size however frequent a word is, and only the postings of
+    words with more than one part are numbered. ``min_postings`` leaves out words that have fewer postings over all fields.
     """
     if min_postings > 1:
         enough = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_postings).select("word")
         rows = rows.join(enough, "word", "left_semi")
-    entry = F.concat("url", F.lit(MINOR), F.col("cnt").cast("string"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", entry.alias("e")))), lambda x: x.e), MAJOR)
-    # ranges are found by a sample: without the table, pages would be read and counted twice
-    numbered = running_sum(stage(rows, "postings"), ["word", "field"], [F.col("url")], F.lit(1), "ordinal")
-    part = F.floor(F.col("ordinal") / fragment).cast("int").alias("part")
-    return numbered.groupBy("word", "field", part).agg(F.count(F.lit(1)).alias("n"), listed.alias("list"))
+    # without the table, pages would be read and counted twice
+    rows = stage(rows.select("word", "field", "url", F.concat("url", F.lit(MINOR), F.col("cnt").cast("string")).alias("e")), "postings")
+    return listed(rows, ["word", "field"], ["url"], "e", fragment).withColumn("list", F.array_join("list", MAJOR))
 
 
 def stored_postings(index: DataFrame, words: Sequence[str] | None = None, fields: tuple[int, ...] = (TITLE, DESCRIPTION, BODY)) -> DataFrame:
@@ -127,7 +124,5 @@ def positions(pages: DataFrame, stemmed: bool = True) -> DataFrame:
 def positional_lists(places: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
     """``word``, ``part``, ``list``: ``url:1 5 9`` entries by number of places, most first, then by url, in parts of ``fragment`` entries."""
     entry = F.concat("url", F.lit(":"), F.array_join(F.transform("places", lambda p: p.cast("string")), " "))
-    rows = places.select("word", "url", (-F.size("places")).alias("n"), entry.alias("e"))
-    numbered = running_sum(stage(rows, "places"), ["word"], [F.col("n"), F.col("url")], F.lit(1), "ordinal")
-    order = F.array_sort(F.collect_list(F.struct("n", "url", "e")))
-    return numbered.groupBy("word", F.floor(F.col("ordinal") / fragment).cast("int").alias("part")).agg(F.array_join(F.transform(order, lambda x: x.e), ",").alias("list"))
+    rows = stage(places.select("word", "url", (-F.size("places")).alias("n"), entry.alias("e")), "places")
+    return listed(rows, ["word"], ["n", "url"], "e", fragment).select("word", "part", F.array_join("list", ",").alias("list"))

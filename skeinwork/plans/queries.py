@@ -121,6 +121,22 @@ def group_concat(spark: SparkSession, root: str) -> DataFrame:
     return _values(spark, root, "customer", "c_name").group_concat(F.expr("right(value, 1)")).df
 
 
+@query("SELECT key, CAST(part AS INT) AS part, count(*) AS n, string_agg(c_name, ',' ORDER BY c_name) AS value FROM (SELECT c_name, c_mktsegment AS key, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) - 1) // 100 AS part FROM customer) GROUP BY key, part")
+def group_parts(spark: SparkSession, root: str) -> DataFrame:
+    """Groups as lists of at most a hundred elements, however large the group is."""
+    rows = table(spark, root, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("value"))
+    return Pairs(rows).wide_parts(100).withColumn("value", F.array_join("values", ",")).drop("values")
+
+
+@query(
+    """WITH b AS (SELECT CAST(c_nationkey AS VARCHAR) AS key, 0 AS side, CAST(c_custkey AS VARCHAR) AS v FROM customer UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 1, CAST(s_suppkey AS VARCHAR) FROM supplier)
+    SELECT key, side, CAST(part AS INT) AS part, count(*) AS n, string_agg(v, ',' ORDER BY v) AS value FROM (SELECT *, (row_number() OVER (PARTITION BY key, side ORDER BY v) - 1) // 20 AS part FROM b) GROUP BY key, side, part"""
+)
+def cogroup_parts(spark: SparkSession, root: str) -> DataFrame:
+    out = _pairs(spark, root, "customer", "c_nationkey", "c_custkey").cogroup_parts(_pairs(spark, root, "supplier", "s_nationkey", "s_suppkey"), 20)
+    return out.withColumn("value", F.array_join("values", ",")).drop("values")
+
+
 @query("SELECT event_type || '!' AS value FROM events WHERE event_type IS NOT NULL")
 def map_partitions_tag(spark: SparkSession, root: str) -> DataFrame:
     return _values(spark, root, "events", "event_type").map_partitions(lambda it: (v + "!" for v in it)).df
@@ -348,7 +364,7 @@ _LINKS = f"SELECT url, list_sort(list_distinct(list_filter(list_transform({sql.h
 
 @query(f"SELECT url AS src, unnest(links) AS dst FROM ({_LINKS})")
 def link_extract(spark: SparkSession, root: str) -> DataFrame:
-    return corpus.edges(corpus.link_graph(_pages(spark, root)))
+    return corpus.page_links(_pages(spark, root))
 
 
 @query(f"SELECT DISTINCT item AS url, {sql.normal_url('item')} AS normal FROM (SELECT unnest({sql.values('link')}) AS item FROM graph)")

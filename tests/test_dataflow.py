@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators.dataflow import Context, Pairs
+from skeinwork.operators.dataflow import Context, Pairs, Values
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +144,21 @@ def test_concurrency(job, spark):
 def test_first_by(job):
     assert sorted(job.parallelize(["u@!#3", "u@!#1", "v@!#2"]).first_by("@!#").collect()) == ["u@!#1", "v@!#2"]
     assert job.catalog.count("no_such_table") == 0
+
+
+def test_parts_of_hot_keys(spark):
+    rows = [("hot", f"v{i:04}") for i in range(2500)] + [("hot", "v0001")] + [("cold", "b"), ("cold", "a"), (None, "n")]
+    pairs = Pairs(spark.createDataFrame(rows, "key string, value string"))
+    got = sorted((r.key or "", r.part, r.n, list(r["values"])) for r in pairs.wide_parts(1000).collect())
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert got == [("", 0, 1, ["n"]), ("cold", 0, 2, ["a", "b"]), *[("hot", i, len(hot[i * 1000 : i * 1000 + 1000]), hot[i * 1000 : i * 1000 + 1000]) for i in range(3)]]
+    sides = {(r.key, r.side, r.part): r.n for r in pairs.cogroup_parts(Pairs(pairs.df.limit(0)), 2000).collect()}
+    assert sides == {(None, 0, 0): 1, ("cold", 0, 0): 2, ("hot", 0, 0): 2000, ("hot", 0, 1): 501}
+    assert pairs.df.limit(0).sparkSession and Pairs(pairs.df.limit(0)).wide_parts(5).count() == 0
+    assert {(r.key, r.part): r.n for r in Values(pairs.df.select("value")).group_parts(F.lit("k"), 2000).collect()} == {("k", 0): 2000, ("k", 1): 504}
+
+
+def test_commutative_fold_of_equal_values(spark):
+    pairs = Pairs(spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) AS key", "'1' AS value"))
+    got = dict(pairs.fold_by_key("0", lambda a, b: str(int(a) + int(b)), commutative=True).collect())
+    assert got["hot"] == "6667" and sum(map(int, got.values())) == 20_000
