@@ -6,16 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot from one HOT_PARTS-th of all rows on, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 1024
-#: Rows up to which a side that was counted may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side that was counted may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to have at most ``most`` rows, else as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have at most ``most`` rows and ``size`` bytes, else as it is (a shuffle join).
+
+    The count reads no more than ``most`` + 1 rows, but it does run what ``df`` does: stage first what is dear.
+    """
+    wide = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            wide += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            wide += F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0))
+        else:
+            wide += 8
+    rows, held = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(wide)).first()
+    return F.broadcast(df) if rows <= most and (held or 0) <= size else df
 
 
 def join_key_stats(facts: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str, total: int, how: str = "inner") -> DataFrame:

@@ -68,6 +68,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over the cluster's cores if its scan has fewer splits than there are cores.
+
+    For steps that compute much for each row, such as the parsing of pages: a table of few large row groups would else keep most
+    cores idle. Tables of many splits, and results of a shuffle, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def partitioned(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` kept in memory or on disk, hash-partitioned and sorted by ``columns``: joins by them, round after round, move only the other
     side. Lost blocks are made again from what ``df`` reads, so that should be a staged table. Unpersist it when done."""
