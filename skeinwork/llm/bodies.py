@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from skeinwork.llm.pagetree import Page, article_segments
 from skeinwork.llm.words import pieces
+from skeinwork.session import spread
 
 
 def body_lines(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
@@ -32,7 +33,7 @@ def body_lines(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
                     lines += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.int32())], names=schema.names)
 
-    return df.select(df[id_column], df[page_column]).mapInArrow(run, schema)
+    return spread(df.select(df[id_column], df[page_column])).mapInArrow(run, schema)
 
 
 def body_text(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
@@ -51,4 +52,4 @@ def body_text(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
                 texts.append("\n".join(page.segments[k].text for k in article_segments(page)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return df.select(df[id_column], df[page_column]).mapInArrow(run, schema)
+    return spread(df.select(df[id_column], df[page_column])).mapInArrow(run, schema)

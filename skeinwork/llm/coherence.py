@@ -8,12 +8,10 @@ hardly any are, however often a page repeats its own collocations.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,13 +20,13 @@ from pyspark.sql import types as T
 
 from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
 from skeinwork.llm.words import MIX, WORD, distinct, pieces, scramble
-from skeinwork.operators.joins import small
-from skeinwork.session import stage
+from skeinwork.operators.joins import join_key_stats, small
+from skeinwork.session import spread, stage
 
-#: Counts are kept by hashed buckets, so that the tables have this many entries however large the corpus is.
-WORD_BITS, PAIR_BITS, CHUNKS = 20, 21, 32
 #: Share of pages (and least number of them) that make a pair of words a common one.
 SUPPORT, LEAST_PAGES = 0.002, 3
+#: Common pairs that are sent to every task, at most. With more of them each page is joined with its own.
+SENT_PAIRS = 2_000_000
 #: Repeats of a pair within a page, and times its usual rate, beyond which it is an excessive collocation.
 REPEATS, EXCESS = 4, 8.0
 #: Contents that share one of MARKS keys, each of MARK_HASHES minimum hashes of their word pairs, are near copies.
@@ -105,7 +103,8 @@ def _contents(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
                         known.clear()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in (words, sizes, kinds)), *map(pa.array, np.array(marks).T.copy())], names=_CONTENT.names)
 
-    return df.where(df[page_column].isNotNull() & df[id_column].isNotNull()).select(df[id_column].cast("string"), df[page_column]).mapInArrow(run, _CONTENT)
+    rows = df.where(df[page_column].isNotNull() & df[id_column].isNotNull()).select(df[id_column].cast("string"), df[page_column])
+    return spread(rows).mapInArrow(run, _CONTENT)
 
 
 @dataclass
@@ -131,111 +130,121 @@ def unpack(words: list[bytes], sizes: list[bytes], kinds: list[bytes]) -> Conten
 
 
 def pairs_of(c: Content) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of words with a right neighbour in the same run, and the buckets of those pairs."""
+    """Positions of words with a right neighbour in the same run, and those pairs: the left word's hash above the right one's."""
     at = np.flatnonzero(c.run[1:] == c.run[:-1])
-    both = (c.words[at].astype(np.uint64) << np.uint64(32)) | c.words[at + 1].astype(np.uint64)
-    return at, (scramble(both) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    return at, (c.words[at].astype(np.uint64) << np.uint64(32)) | c.words[at + 1].astype(np.uint64)
 
 
-def word_buckets(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint32(32 - WORD_BITS)).astype(np.int64)
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs."""
+    x = np.sort(x)
+    head = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    return x[head], np.diff(np.append(head, len(x)))
 
 
-@dataclass
-class Counts:
-    """``words``, ``pairs``: occurrences by bucket; ``pages``: pages that have a pair of the bucket; ``n``: pages."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    pages: np.ndarray
-    n: int
-
-
-def count(c: Content, into: Counts) -> None:
-    into.words += np.bincount(word_buckets(c.words), minlength=1 << WORD_BITS)
-    at, bucket = pairs_of(c)
-    into.pairs += np.bincount(bucket, minlength=1 << PAIR_BITS)
-    once = distinct(c.page[at] << PAIR_BITS | bucket)
-    into.pages += np.bincount(once & ((1 << PAIR_BITS) - 1), minlength=1 << PAIR_BITS)
-    into.n += c.pages
-
-
-def no_counts() -> Counts:
-    return Counts(np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64), 0)
+def _once_a_page(page: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Positions of the first of equal pairs of a page, in the order of pages and pairs."""
+    order = np.lexsort((pair, page))
+    p, x = page[order], pair[order]
+    return order[np.append(True, (p[1:] != p[:-1]) | (x[1:] != x[:-1]))] if len(order) else order
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:
     """``rows`` with one content of each group of copies and near copies.
 
-    Contents with the same ``k`` are one; then, mark by mark, those left that share it. Only keys move; the content that stays
-    is the one with the least ``k``.
+    Mark by mark, of those left that share it one stays, the one with the least ``k`` (the same contents share all marks). Only keys move.
     """
     left = rows.select("k", "r", *_MARKS)
-    for key in ["k", *_MARKS]:
+    for key in _MARKS:
         left = left.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct("k", "r", *_MARKS)).alias("m")).select("m.*")
     copies = stage(rows.select("r").join(left.select("r"), "r", "left_anti"), "copies")
     return rows.join(small(copies), "r", "left_anti")
 
 
-def corpus_counts(contents: DataFrame) -> Counts:
-    """Counts of all pages: each task adds up its own tables, the tables are added up chunk by chunk, and their fixed number
-    of entries (2^WORD_BITS + 2 * 2^PAIR_BITS) comes to the driver."""
-    schema = "part int, width int, data binary"
+def corpus_counts(contents: DataFrame) -> DataFrame:
+    """``pair`` (null for words), ``word`` (null for pairs), ``n`` occurrences and ``pages`` that have the pair, of every word and every
+    pair of neighbours: exact counts, combined within batches and tasks before they are shuffled. A row without either has the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        own = no_counts()
-        for b in batches:
-            count(unpack(*(b.column(i).to_pylist() for i in range(3))), own)
-        if own.n:
-            # most entries of a task's tables are small: four bytes each, unless one needs more
-            flat = np.concatenate([own.words, own.pairs, own.pages])
-            if flat.max() < 2**32:
-                flat = flat.astype(np.uint32)
-            chunks = [zlib.compress(x.tobytes(), 1) for x in np.array_split(flat, CHUNKS)]
-            chunks.append(zlib.compress(np.array([own.n], flat.dtype).tobytes(), 1))
-            wide = pa.array([flat.itemsize] * (CHUNKS + 1), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS + 1), pa.int32()), wide, pa.array(chunks, pa.binary())], names=["part", "width", "data"])
-
-    def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for width, x in zip(part["width"], part["data"], strict=True):
-            y = np.frombuffer(zlib.decompress(x), np.uint32 if width == 4 else np.int64)
-            total = y.astype(np.int64) if total is None else total + y
-        return pd.DataFrame({"part": [key[0]], "width": [8], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = contents.select("words", "sizes", "kinds").mapInArrow(run, schema).groupBy("part").applyInPandas(added, schema)
-    got = {r.part: np.frombuffer(zlib.decompress(r.data), np.int64) for r in parts.collect()}
-    if not got:
-        return no_counts()
-    flat = np.concatenate([got[i] for i in range(CHUNKS)])
-    a, b = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
-    return Counts(flat[:a], flat[a:b], flat[b:], int(got[CHUNKS][0]))
-
-
-def pair_scores(c: Content, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        for whole in batches:
+            for b in pieces(whole, 0, 10_000, 32_000_000):
+                c = unpack(*(b.column(i).to_pylist() for i in range(3)))
+                words, times = _counted(c.words)
+                at, pair = pairs_of(c)
+                pairs, n = _counted(pair)
+                _, pages = _counted(pair[_once_a_page(c.page[at], pair)])
+                is_word = np.arange(len(words) + len(pairs) + 1) < len(words)
+                last = np.arange(len(is_word)) == len(is_word) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([words.astype(np.int64), pairs.view(np.int64), [0]]), mask=is_word | last),
+                        pa.array(np.concatenate([words.astype(np.int64), pairs.view(np.int64), [0]]), mask=~is_word),
+                        pa.array(np.concatenate([times, n, [c.pages]])), pa.array(np.concatenate([np.zeros(len(words), np.int64), pages, [c.pages]])),
+                    ],
+                    names=["pair", "word", "n", "pages"],
+                )
+
+    rows = contents.select("words", "sizes", "kinds").mapInArrow(run, "pair bigint, word bigint, n bigint, pages bigint")
+    return rows.groupBy("pair", "word").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
+
+
+def common_pairs(contents: DataFrame) -> DataFrame:
+    """``pair``, ``score`` (normalised mutual information, from -1 to 1) and ``p`` (share of all pairs) of the pairs that at least
+    ``SUPPORT`` of the pages have, and ``LEAST_PAGES`` of them.
+
+    However large the corpus and its vocabulary, there are at most (mean number of distinct pairs of a page) / ``SUPPORT`` of them.
+    """
+    counts = stage(corpus_counts(contents), "counts")
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    pairs, words, n = counts.agg(of(F.col("pair").isNotNull()), of(F.col("word").isNotNull()), of(F.coalesce("pair", "word").isNull())).first()
+    found = stage(counts.where(F.col("pair").isNotNull() & (F.col("pages") >= max(LEAST_PAGES, SUPPORT * n))).select("pair", "n"), "common")
+    sides = found.select("pair", "n", F.posexplode(F.array(F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(F.lit(2**32 - 1)))).alias("side", "word"))
+    shared = counts.where("word IS NOT NULL").select("word", (F.col("n") / F.lit(float(words or 1))).alias("q")).join(small(sides), "word")
+    q = F.max(F.when(F.col("side") == 0, F.col("q"))) * F.max(F.when(F.col("side") == 1, F.col("q")))
+    out = shared.groupBy("pair").agg((F.first("n") / F.lit(float(pairs or 1))).alias("p"), q.alias("q"))
+    # where all pairs of the corpus are the same one, p is 1
+    score = F.when(F.col("p") >= 1, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.log(F.col("p") / F.col("q")) / -F.log("p"))))
+    return stage(out.select("pair", score.alias("score"), "p"), "common-pairs")
+
+
+@dataclass
+class Common:
+    """Common pairs, ascending, with their score and share."""
+
+    pairs: np.ndarray
+    score: np.ndarray
+    p: np.ndarray
+
+
+def as_common(pairs: np.ndarray, score: np.ndarray, p: np.ndarray) -> Common:
+    pairs, first = np.unique(pairs.astype(np.int64).view(np.uint64), return_index=True)
+    return Common(pairs, score[first], p[first])
+
+
+def pair_scores(c: Content, common: Common) -> tuple[np.ndarray, np.ndarray]:
     """Positions of words with a right neighbour, and the normalised mutual information of each such pair: from -1 to 1; -1
     for pairs that few pages have, and for those that their page repeats excessively."""
-    at, bucket = pairs_of(c)
-    total = max(int(counts.pairs.sum()), 1)
-    words = max(int(counts.words.sum()), 1)
-    left, right = counts.words[word_buckets(c.words[at])] / words, counts.words[word_buckets(c.words[at + 1])] / words
-    p = counts.pairs[bucket] / total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.log(p / (left * right)) / -np.log(p)
-    score = np.clip(np.nan_to_num(score, nan=-1.0, neginf=-1.0, posinf=1.0), -1, 1)
-    score[counts.pages[bucket] < max(LEAST_PAGES, SUPPORT * counts.n)] = -1
+    at, pair = pairs_of(c)
+    score, p = np.full(len(pair), -1.0), np.zeros(len(pair))
+    if len(common.pairs):
+        k = np.minimum(np.searchsorted(common.pairs, pair), len(common.pairs) - 1)
+        hit = common.pairs[k] == pair
+        score[hit], p[hit] = common.score[k[hit]], common.p[k[hit]]
     # repeats within the page
-    key = c.page[at] << PAIR_BITS | bucket
-    _, inverse, repeats = np.unique(key, return_inverse=True, return_counts=True)
-    per_page = np.bincount(c.page[at], minlength=c.pages)[c.page[at]]
-    times = repeats[inverse]
+    page = c.page[at]
+    order = np.lexsort((pair, page))
+    head = np.append(True, (page[order][1:] != page[order][:-1]) | (pair[order][1:] != pair[order][:-1])) if len(at) else np.empty(0, bool)
+    group = np.cumsum(head) - 1
+    times = np.empty(len(at), np.int64)
+    times[order] = np.bincount(group)[group] if len(at) else 0
+    per_page = np.bincount(page, minlength=c.pages)[page]
     score[(times >= REPEATS) & (times > EXCESS * p * per_page)] = -1
     return at, score
 
 
-def page_scores(c: Content, counts: Counts) -> dict[str, np.ndarray]:
+def page_scores(c: Content, common: Common) -> dict[str, np.ndarray]:
     """Per page: words, words outside of sentences, mean score of neighbours, share of excessive or rare pairs."""
-    at, score = pair_scores(c, counts)
+    at, score = pair_scores(c, common)
     runs = int(c.run[-1]) + 1 if len(c.run) else 0
     n_pairs, sums = np.bincount(c.run[at], minlength=runs), np.bincount(c.run[at], score, minlength=runs)
     n_words = np.bincount(c.run, minlength=runs)
@@ -248,30 +257,63 @@ def page_scores(c: Content, counts: Counts) -> dict[str, np.ndarray]:
     return {"n_words": per_page(n_words).astype(np.int64), "loose_words": per_page(n_words * loose).astype(np.int64), "mean_pmi": per_page(sums) / np.maximum(pairs, 1)}
 
 
+_SCORES = "id string, n_words bigint, loose_words bigint, mean_pmi double"
+
+
+def _scored(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """The scores of all contents ``rows``. The common pairs are sent to all tasks if they were counted to be ``SENT_PAIRS`` at most;
+    else each content is joined with its own."""
+
+    def scored(b: pa.RecordBatch, known: Common) -> pa.RecordBatch:
+        got = page_scores(unpack(*(b.column(i).to_pylist() for i in (1, 2, 3))), known)
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in got.values())], names=["id", *got])
+
+    if common.count() <= SENT_PAIRS:
+        t = common.toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast(as_common(*(t.column(i).to_numpy() for i in range(3))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for whole in batches:
+                for b in pieces(whole, 1, 10_000, 32_000_000):
+                    yield scored(b, sent.value)
+
+        return rows.select("id", "words", "sizes", "kinds").mapInArrow(run, _SCORES)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, 1, 10_000, 32_000_000):
+                c = unpack(*(b.column(i).to_pylist() for i in (1, 2, 3)))
+                at, pair = pairs_of(c)
+                once = _once_a_page(c.page[at], pair)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.page[at][once])), pa.array(pair[once].view(np.int64))], names=["r", "pair"])
+
+    own = stage(rows.select("r", "words", "sizes", "kinds").mapInArrow(pairs, "r bigint, pair bigint").join(common.select("pair"), "pair", "left_semi"), "own-pairs")
+    stats = stage(own.groupBy("pair").agg(F.count(F.lit(1)).alias("__n")).join(common, "pair"), "pair-rows")
+    total = stats.agg(F.sum("__n")).first()[0] or 0
+    lists = join_key_stats(own, stats, ["pair"], "__n", total).groupBy("r").agg(*[F.collect_list(c).alias(f"__{c}") for c in ("pair", "score", "p")])
+    joined = rows.select("r", "id", "words", "sizes", "kinds").join(lists, "r", "left").drop("r")
+
+    def with_own(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for whole in batches:
+            for b in pieces(whole, 1, 1000, 8_000_000):
+                yield scored(b, as_common(*(b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5, 6))))
+
+    return joined.mapInArrow(with_own, _SCORES)
+
+
 def incoherence(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     """One row per page: ``id``, ``n_words`` of its own content, ``loose_words`` (words in runs whose neighbours are, on the mean,
     below ``COHERENT``: keyword strings, tag lists, bare links), ``loose_share`` and ``mean_pmi``.
 
     Own content is the main body of the page, hidden text included, without menus, notices and the like; headings count
-    as words, never as loose ones. Pages are parsed once and all get a row; the counts take one content of each group of copies
-    and near copies, so that however often a page is mirrored its pairs don't support themselves.
+    as words, never as loose ones. Pages are parsed once and all get a row; the counts are exact, and take one content of each group of
+    copies and near copies, so that however often a page is mirrored its pairs don't support themselves.
 
     Defined results: rows with a null id or page are left out; repeated records are one; an id with several pages gets the
     row with the largest share; pages without content have 0 words and a share of 0.0; an empty table gives no rows.
     """
     rows = stage(_contents(df, id_column, page_column).withColumn("r", F.monotonically_increasing_id()), "contents")
-    first = rows.groupBy("id", "k").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
-    again = rows.select("id", "k", "r").join(small(stage(first.where("n > 1").select("id", "k", F.col("r").alias("kept")), "repeated")), ["id", "k"]).where("r <> kept").select("r")
-    rows = rows.join(small(stage(again, "repeats")), "r", "left_anti")
-    counts = df.sparkSession.sparkContext.broadcast(corpus_counts(one_of_each(rows)))
-    schema = "id string, n_words bigint, loose_words bigint, mean_pmi double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
-            got = page_scores(unpack(*(b.column(i).to_pylist() for i in (1, 2, 3))), counts.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in got.values())], names=["id", *got])
-
-    out = rows.select("id", "words", "sizes", "kinds").mapInArrow(run, schema)
+    out = _scored(rows, common_pairs(one_of_each(rows)))
     share = F.col("loose_words") / F.greatest("n_words", F.lit(1))
     out = out.withColumn("loose_share", share)
     return out.groupBy("id").agg(F.max(F.struct("loose_share", "n_words", "loose_words", "mean_pmi")).alias("m")).select("id", "m.n_words", "m.loose_words", "m.loose_share", "m.mean_pmi")

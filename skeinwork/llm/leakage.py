@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork.llm.words import pieces, plain, words_of
+from skeinwork.session import spread
 
 RUN, SHARE_PERCENT = 10, 30
 #: Characters of evaluation text that travel to the executors at a time; more text is searched in several passes.
@@ -179,7 +180,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
                         names=schema.names,
                     )
 
-        return docs.mapInArrow(shard, schema)
+        return spread(docs).mapInArrow(shard, schema)
 
     out = None
     block: list[tuple[int, str]] = []

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from skeinwork.llm.words import distinct, page_words, pieces, scramble
 from skeinwork.operators.components import components
 from skeinwork.operators.joins import join_key_stats, small
-from skeinwork.session import stage
+from skeinwork.session import spread, stage
 
 WORDS, ALIKE = 3, 0.45
 #: Trie shards per text, hashes that agree within a shard, hashes of a code (two bits each).
@@ -188,7 +188,8 @@ def _texts(df: DataFrame, id_column: str, page_column: str, words: int) -> DataF
                     names=_TEXTS.names,
                 )
 
-    return df.where(df[page_column].isNotNull() & df[id_column].isNotNull()).select(df[id_column].cast("string"), df[page_column]).mapInArrow(run, _TEXTS)
+    rows = df.where(df[page_column].isNotNull() & df[id_column].isNotNull()).select(df[id_column].cast("string"), df[page_column])
+    return spread(rows).mapInArrow(run, _TEXTS)
 
 
 def _shard_join(most: int):  # noqa: ANN202

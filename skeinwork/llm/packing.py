@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.llm.words import pieces
 from skeinwork.operators.unpack import buffers
-from skeinwork.session import stage
+from skeinwork.session import spread, stage
 
 #: Lengths are rounded up to so many steps of a block.
 STEPS = 128
@@ -51,10 +52,10 @@ def token_counts(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", df.schema[id_column].dataType), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in pieces(whole, 1, 10_000)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count_tokens(*buffers(b.column(1))))], names=schema.names)
 
-    return df.select(df[id_column], df[text_column]).mapInArrow(run, schema)
+    return spread(df.select(df[id_column], df[text_column])).mapInArrow(run, schema)
 
 
 def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from skeinwork.llm import bodies, coherence, distinctive, fusion, leakage, nearc
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.operators.unpack import POSTING, unpack_values
 from skeinwork.plans import sql
-from skeinwork.session import stage
+from skeinwork.session import spread, stage
 from skeinwork.sources.tables import normal_word, table, trimmed
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def _wanted_pages(spark: SparkSession, root: str) -> DataFrame:
     jobs = table(spark, root, "extract_jobs").select("url_hash").where("url_hash IS NOT NULL").distinct()
-    return table(spark, root, "page_cache").select("url_hash", "page").where("page IS NOT NULL").join(small(jobs), "url_hash", "left_semi")
+    return spread(table(spark, root, "page_cache").select("url_hash", "page").where("page IS NOT NULL")).join(small(jobs), "url_hash", "left_semi")
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

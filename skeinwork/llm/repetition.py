@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from skeinwork.llm.words import MIX, hashed, pieces, scramble, words_of
+from skeinwork.session import spread
 
 LENGTHS = (3, 6, 10)
 
@@ -106,4 +107,4 @@ def repetition(df: DataFrame, id_column: str, text_column: str, lengths: Sequenc
             cols.append(pa.array(lines[:, 1] / np.maximum(lines[:, 0], 1)))
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return df.select(df[id_column], df[text_column]).mapInArrow(run, T.StructType(fields))
+    return spread(df.select(df[id_column], df[text_column])).mapInArrow(run, T.StructType(fields))

@@ -159,5 +159,29 @@ def test_spam_edges(spark):
 def test_counts_do_not_depend_on_the_partitions(spark):
     df = spark.createDataFrame(spam_rows(), "id string, page string")
     contents = coherence._contents(df, "id", "page")
-    a, b = coherence.corpus_counts(contents.repartition(7)), coherence.corpus_counts(contents.coalesce(1))
-    assert a.n == b.n == len(spam_rows()) and (a.words == b.words).all() and (a.pairs == b.pairs).all() and (a.pages == b.pages).all()
+    a, b = ({tuple(r) for r in coherence.corpus_counts(x).collect()} for x in (contents.repartition(7), contents.coalesce(1)))
+    assert a == b and len(a) > 100
+    words = [w for _, p in spam_rows() for ws, _ in coherence.page_content(p) for w in ws]
+    assert sum(n for _, w, n, _ in a if w is not None) == len(words) and len([w for _, w, _, _ in a if w is not None]) == len(set(words)) and (None, None, len(spam_rows()), len(spam_rows())) in a
+
+
+def test_pages_joined_with_their_own_pairs(spark, monkeypatch):
+    df = spark.createDataFrame(spam_rows(), "id string, page string")
+    sent = {tuple(r) for r in coherence.incoherence(df, "id", "page").collect()}
+    monkeypatch.setattr(coherence, "SENT_PAIRS", 10)
+    assert {tuple(r) for r in coherence.incoherence(df, "id", "page").collect()} == sent
+
+
+def test_many_distinct_pairs_hide_no_spam(spark):
+    """Every page has hundreds of words of its own, so that distinct pairs grow with the pages; the cases stay the same."""
+    import random
+
+    rng = random.Random(9)
+    own = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rows = [(f"own{i}", "<body><div><h1>T</h1>" + "".join(f"<p>{sentence(i + k)} {' '.join(own() for _ in range(8))}.</p>" for k in range(60)) + "</div></body>") for i in range(300)]
+    spam = [(f"spam{i}", f"<body><div><h1>T</h1><p>{', '.join(own() + ' ' + own() for _ in range(40))}</p></div></body>") for i in range(60)]
+    df = spark.createDataFrame(spam_rows() + rows + spam, "id string, page string")
+    contents = coherence._contents(df, "id", "page")
+    assert coherence.corpus_counts(contents).where("pair IS NOT NULL").count() > 140_000
+    got = {r.id for r in coherence.incoherence(df, "id", "page").where(f"loose_share > {coherence.SPAM_SHARE}").collect()}
+    assert got >= {"s0", "s1", "s2", "s3"} | {s for s, _ in spam}
