@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from skeinwork.session import extent, width
 
 #: A key is hot from one HOT_PARTS-th of all rows on, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 1024
@@ -14,21 +15,17 @@ HOT_PARTS = 1024
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to have at most ``most`` rows and ``size`` bytes, else as it is (a shuffle join).
+def small(df: DataFrame, of: DataFrame | None = None, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and ``size`` bytes, else as it is (a shuffle join).
 
-    The count reads no more than ``most`` + 1 rows, but it does run what ``df`` does: stage first what is dear.
+    The extent of a staged table is known; ``of`` names a staged table that ``df`` is a part of, if there is one. Otherwise, or if that
+    table is too large, rows are counted, ``most`` + 1 at the most; that runs what ``df`` does, so what is dear should be staged.
     """
-    wide = F.lit(0).cast("bigint")
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            wide += F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            wide += F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0))
-        else:
-            wide += 8
-    rows, held = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(wide)).first()
-    return F.broadcast(df) if rows <= most and (held or 0) <= size else df
+    known = extent(df) or (extent(of) if of is not None else None)
+    if known is None or (of is not None and (known[0] > most or known[1] > size)):
+        rows, held = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(width(df.schema))).first()
+        known = rows, held or 0
+    return F.broadcast(df) if known[0] <= most and known[1] <= size else df
 
 
 def join_key_stats(facts: DataFrame, stats: DataFrame, keys: Sequence[str], rows: str, total: int, how: str = "inner") -> DataFrame:

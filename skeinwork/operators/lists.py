@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators.joins import small
 from skeinwork.operators.ranking import running_sum
-from skeinwork.session import stage
+from skeinwork.session import extent, stage
 
 #: Elements of one list, at most.
 PART = 10_000
@@ -28,7 +28,7 @@ def listed(rows: DataFrame, group: Sequence[str], order: Sequence[str], element:
     hot = stage(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select(*[F.col(g).alias(f"__g_{g}") for g in group]), "hot-groups")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*keys, "__e"))), lambda x: x["__e"])
     made = [F.count(F.lit(1)).alias("n"), ordered.alias("list")]
-    if hot.isEmpty():
+    if not extent(hot)[0]:
         return rows.groupBy(*group).agg(*made).select(*group, F.lit(0).alias("part"), "n", "list")
     hot, same = small(hot), F.lit(True)
     for g in group:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.operators.joins import small
 from skeinwork.session import stage
 
-BITS, SALTS = 8, 16
+BITS = 8
+#: Distinct values of a bucket that one task gets at each level, about.
+PIECE = 100_000
 
 
 @F.pandas_udf(T.LongType())
@@ -49,8 +52,9 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float
 
     The quantile p of n values is the ceil(p * n)-th smallest one (the smallest for p = 0). Distributed selection: a
     histogram of 2^8 buckets per key, from mergeable counts, tells in which bucket each wanted rank lies; that bucket is
-    split again into 2^8, until a bucket is a single value. A pass groups by key *and* bucket after map-side combination,
-    and the join that keeps the values of wanted buckets is salted by value, so no task gets the values of one key.
+    split again into 2^8, until a bucket is a single value. A pass groups by key *and* bucket after map-side combination. Each level
+    reads only what the one before it kept, the values of wanted buckets, and a bucket's values are spread over as many tasks as their
+    number asks for, so no task gets the values of one key.
 
     Defined results: a null key is a key like any other, as in GROUP BY; null values count in ``n_rows`` only, and a key
     without any value has null for each quantile; ties and repeated rows count as often as they occur; an empty table gives
@@ -72,20 +76,35 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float
     shifts = list(range(max(span.bit_length() - BITS, 0), 0, -BITS)) + [0]
     w = w.where("v IS NOT NULL").select("key", (F.col("v") - F.lit(base)).alias("v"), "c")
 
-    bucket = lambda s: F.shiftright("v", s)
-    hist = w.groupBy("key", bucket(shifts[0]).alias("b")).agg(F.sum("c").alias("c"))
+    # a level: (key, bucket) -> rows, and distinct values, which tell how far the bucket has to be spread
+    levels = F.sum("c").alias("c"), F.count(F.lit(1)).alias("d")
+    hist = w.groupBy("key", F.shiftright("v", shifts[0]).alias("b")).agg(*levels)
     order = Window.partitionBy("key").orderBy("b")
-    hist = hist.select("key", "b", "c", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy("key")).alias("n"))
+    hist = hist.select("key", "b", "c", "d", F.sum("c").over(order).alias("upto"), F.sum("c").over(Window.partitionBy("key")).alias("n"))
     wanted = F.array(*[F.struct(F.lit(i).alias("q"), F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(float(p)) * F.col("n") - F.lit(1e-9))).alias("r")) for i, p in enumerate(probs)])
     inside = (F.col("r") > F.col("upto") - F.col("c")) & (F.col("r") <= F.col("upto"))
-    state = hist.select("*", F.inline(wanted)).where(inside).select("key", "q", "b", (F.col("r") - F.col("upto") + F.col("c")).alias("r"))
+    state = hist.select("*", F.inline(wanted)).where(inside).select("key", "q", "b", "d", (F.col("r") - F.col("upto") + F.col("c")).alias("r"))
     for before, shift in zip(shifts, shifts[1:], strict=False):
-        salted = state.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        rows = w.select("key", "v", "c", bucket(before).alias("b"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
-        part = rows.alias("l").join(salted.alias("r"), F.col("l.key").eqNullSafe(F.col("r.key")) & (F.col("l.b") == F.col("r.b")) & (F.col("l.salt") == F.col("r.salt")))
-        part = part.select("l.key", "r.q", "r.r", F.shiftright("l.v", shift).alias("b"), "l.c").groupBy("key", "q", "r", "b").agg(F.sum("c").alias("c"))
-        upto = F.sum("c").over(Window.partitionBy("key", "q").orderBy("b"))
-        state = part.withColumn("upto", upto).where(inside).select("key", "q", "b", (F.col("r") - F.col("upto") + F.col("c")).alias("r"))
+        state = stage(state, "ranks-wanted")
+        # values of wanted buckets; a bucket that several ranks lie in is kept once
+        buckets = state.groupBy("key", "b").agg(F.max("d").alias("d")).withColumn("pieces", F.ceil(F.col("d") / PIECE).cast("int"))
+        most = buckets.agg(F.max("pieces")).first()[0] or 1
+        buckets = buckets.select("key", "b", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+        rows = w.withColumn("b", F.shiftright("v", before)).withColumn("h", F.pmod(F.xxhash64("v"), F.lit(most)).cast("int"))
+        if most > 1:
+            # pieces differ from bucket to bucket: a value of a bucket of n pieces lies in piece h mod n, and all its sides are n rows
+            sizes = small(state.groupBy("key", "b").agg(F.max("d").alias("d")).where(F.col("d") > PIECE).select(F.col("key").alias("k2"), F.col("b").alias("b2"), F.ceil(F.col("d") / PIECE).cast("int").alias("of")))
+            rows = rows.join(sizes, F.col("key").eqNullSafe(F.col("k2")) & (F.col("b") == F.col("b2")), "left").withColumn("piece", F.col("h") % F.coalesce("of", F.lit(1))).drop("k2", "b2", "of")
+        else:
+            rows = rows.withColumn("piece", F.lit(0))
+        part = rows.alias("l").join(small(buckets).alias("r"), F.col("l.key").eqNullSafe(F.col("r.key")) & (F.col("l.b") == F.col("r.b")) & (F.col("l.piece") == F.col("r.piece")))
+        w = part.select("l.key", "l.v", "l.c")
+        if shift:
+            w = stage(w, "values-kept")
+        fine = w.groupBy("key", F.shiftright("v", before).alias("above"), F.shiftright("v", shift).alias("b")).agg(*levels)
+        upto = F.sum("c").over(Window.partitionBy("key", "above").orderBy("b"))
+        fine = fine.withColumn("upto", upto).alias("f").join(state.select("key", "q", F.col("b").alias("above"), "r").alias("s"), F.col("f.key").eqNullSafe(F.col("s.key")) & (F.col("f.above") == F.col("s.above")))
+        state = fine.select("f.key", "s.q", "f.b", "f.c", "f.d", "f.upto", "s.r").where(inside).select("key", "q", "b", "d", (F.col("r") - F.col("upto") + F.col("c")).alias("r"))
     found = (F.col("b") + F.lit(base)).alias("v")
     found = state.select("key", "q", found)
     if real:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions.urls import normal_url, robots_delay_udf
 from skeinwork.operators.ranking import running_sum
 from skeinwork.plans.corpus import page_links
-from skeinwork.session import partitioned, stage
+from skeinwork.session import extent, partitioned, stage
 
 MAX_DEPTH, MAX_URL = 15, 300
 
@@ -41,7 +41,7 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, blo
     for depth in range(1, max_depth + 1):
         reached = newest.select(F.col("url").alias("src")).join(links, "src").select(F.col("dst").alias("url")).where(fit).distinct()
         newest = stage(reached.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "round")
-        if newest.isEmpty():
+        if not extent(newest)[0]:
             break
         seen = seen.unionByName(newest)
     links.unpersist()
@@ -79,7 +79,7 @@ def replay(seeds: DataFrame, pages: DataFrame, hosts: DataFrame, max_depth: int
         source = F.coalesce("earlier", "now")
         rows = rows.withColumn("canonical_url", F.when(source != F.col("url"), source))
         rows = stage(rows.select("url", "depth", "delay_ms", "canonical_url", "digest", "response_code", "lang"), "round")
-        if rows.isEmpty():
+        if not extent(rows)[0]:
             break
         fetched = rows if fetched is None else fetched.unionByName(rows)
         english = F.col("lang").isNull() | F.lower("lang").contains("en")

@@ -46,7 +46,14 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return q.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(HOT_SHARE * total))).select(F.col("key").alias("word"))
 
 
-QUERIES = {"p6_found": p6_found, "p3_found": p3_found, "p3_word_quantiles": p3_word_quantiles}
+def p3_price_quantiles(spark: SparkSession, root: str) -> DataFrame:
+    """Exact quantiles of the extended price, a double, of every return flag: values wide enough for eight levels."""
+    rows = table(spark, root, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    q = grouped_quantiles(rows, "flag", "l_extendedprice", PROBS)
+    return q.select(F.col("key").alias("flag"), "n_rows", *[F.col("quantiles")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(PROBS)])
+
+
+QUERIES = {"p3_price_quantiles": p3_price_quantiles, "p6_found": p6_found, "p3_found": p3_found, "p3_word_quantiles": p3_word_quantiles}
 
 _LINKS = f"SELECT DISTINCT url_hash, {sql.values('link')} AS items FROM graph WHERE link IS NOT NULL"
 
@@ -61,6 +68,9 @@ def _field_sql(field: int) -> str:
 SQL = {
     "p6_found": f"SELECT DISTINCT 'graph' AS source_table, url_hash AS row_id, 'link' AS field_name, CAST(generate_subscripts(items, 1) - 1 AS INT) AS pos, unnest(items) AS item FROM ({_LINKS}) UNION ALL {_field_sql(1)} UNION ALL {_field_sql(3)}",
     "p3_found": f"SELECT word FROM ({sql.postings(3)}) GROUP BY word HAVING word IS NOT NULL AND count(*) >= {HOT_SHARE} * (SELECT count(*) FROM ({sql.postings(3)}))",
+    "p3_price_quantiles": "SELECT l_returnflag AS flag, count(*) AS n_rows, "
+    + ", ".join(f"list_sort(list(l_extendedprice))[CAST(greatest(1, ceil({p} * count(l_extendedprice) - 1e-9)) AS BIGINT)] AS q{round(100 * p)}" for p in PROBS)
+    + " FROM lineitem GROUP BY l_returnflag",
     "p3_word_quantiles": f"SELECT word, count(*) AS n_postings, "
     + ", ".join(f"list_sort(list(cnt) FILTER (cnt IS NOT NULL))[CAST(greatest(1, ceil({p} * count(cnt) - 1e-9)) AS BIGINT)] AS q{round(100 * p)}" for p in PROBS)
     + f" FROM ({sql.postings(3)}) WHERE word IS NOT NULL GROUP BY word",

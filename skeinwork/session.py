@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_dir: str | None = None
@@ -55,17 +57,41 @@ def staging_root(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+def width(schema: T.StructType) -> Column:
+    """About how many bytes a row of ``schema`` holds."""
+    size = F.lit(0).cast("bigint")
+    for f in schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)):
+            size += F.coalesce(F.size(c), F.lit(0)) * 8
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size += 8
+    return size
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
-    Cuts lineage, survives the loss of executors, and lets later steps read only the columns they need. The folder is
-    removed when the driver's process ends.
+    Cuts lineage, survives the loss of executors, and lets later steps read only the columns they need. Rows and bytes are counted as
+    they are written (``extent``), so that no later step has to count them. The folder is removed when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width(df.schema)).alias("bytes")).write.option("compression", "zstd").parquet(path)
     _drop_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._extent = (seen.get["rows"], seen.get["bytes"] or 0)
+    return out
+
+
+def extent(df: DataFrame) -> tuple[int, int] | None:
+    """Rows and bytes of a staged table, None for any other one."""
+    return df.__dict__.get("_extent")
 
 
 def spread(df: DataFrame) -> DataFrame:

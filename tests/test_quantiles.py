@@ -53,3 +53,14 @@ def test_extreme_integers(spark):
 def test_special_doubles(spark):
     df = spark.createDataFrame([("a", float("inf")), ("a", -0.0), ("a", 0.0), ("a", float("-inf"))], "key string, v double")
     assert list(grouped_quantiles(df, "key", "v", (0, 0.5, 1)).first().quantiles) == [float("-inf"), 0.0, float("inf")]
+
+
+def test_buckets_are_spread_by_their_values(spark, monkeypatch):
+    from skeinwork.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "PIECE", 50)
+    rng = np.random.default_rng(8)
+    rows = [("hot" if i % 10 else None, float(x)) for i, x in enumerate(rng.normal(1e6, 3, 5000))]
+    df = spark.createDataFrame(rows, "word string, x double")
+    got = {r.key: (r.n_rows, r.n_values, list(r.quantiles)) for r in grouped_quantiles(df, "word", "x", PROBS).collect()}
+    assert got == brute(rows)
