@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
 from skeinwork.llm.words import MIX, WORD, distinct, pieces, scramble
 from skeinwork.operators.joins import join_key_stats, small
-from skeinwork.session import spread, stage
+from skeinwork.session import extent, spread, stage
 
 #: Share of pages (and least number of them) that make a pair of words a common one.
 SUPPORT, LEAST_PAGES = 0.002, 3
@@ -199,7 +199,7 @@ def common_pairs(contents: DataFrame) -> DataFrame:
     pairs, words, n = counts.agg(of(F.col("pair").isNotNull()), of(F.col("word").isNotNull()), of(F.coalesce("pair", "word").isNull())).first()
     found = stage(counts.where(F.col("pair").isNotNull() & (F.col("pages") >= max(LEAST_PAGES, SUPPORT * n))).select("pair", "n"), "common")
     sides = found.select("pair", "n", F.posexplode(F.array(F.shiftrightunsigned("pair", 32), F.col("pair").bitwiseAND(F.lit(2**32 - 1)))).alias("side", "word"))
-    shared = counts.where("word IS NOT NULL").select("word", (F.col("n") / F.lit(float(words or 1))).alias("q")).join(small(sides), "word")
+    shared = counts.where("word IS NOT NULL").select("word", (F.col("n") / F.lit(float(words or 1))).alias("q")).join(small(sides, found), "word")
     q = F.max(F.when(F.col("side") == 0, F.col("q"))) * F.max(F.when(F.col("side") == 1, F.col("q")))
     out = shared.groupBy("pair").agg((F.first("n") / F.lit(float(pairs or 1))).alias("p"), q.alias("q"))
     # where all pairs of the corpus are the same one, p is 1
@@ -268,7 +268,7 @@ def _scored(rows: DataFrame, common: DataFrame) -> DataFrame:
         got = page_scores(unpack(*(b.column(i).to_pylist() for i in (1, 2, 3))), known)
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in got.values())], names=["id", *got])
 
-    if common.count() <= SENT_PAIRS:
+    if extent(common)[0] <= SENT_PAIRS:
         t = common.toArrow()
         sent = rows.sparkSession.sparkContext.broadcast(as_common(*(t.column(i).to_numpy() for i in range(3))))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators.joins import join_key_stats
 from skeinwork.operators.ranking import add_rank, running_sum
-from skeinwork.session import stage
+from skeinwork.session import extent, stage
 
 
 def rank_items(df: DataFrame, group: str, item: str, weights: Mapping[str, float]) -> DataFrame:
@@ -32,7 +32,7 @@ def rank_items(df: DataFrame, group: str, item: str, weights: Mapping[str, float
         usable &= F.col(s).isNotNull() & ~F.isnan(F.col(s).cast("double"))
     rows = df.where(usable).groupBy(group, item).agg(*[F.max(s).alias(s) for s in scores])
     rows = stage(rows, "items")
-    total = rows.count()
+    total = extent(rows)[0]
     for s in scores:
         rows = add_rank(rows, group, s, f"rank_{s}", total)
     pairs = F.array_sort(F.array(*[F.struct(F.col(f"rank_{s}").alias("r"), F.lit(float(weights[s])).alias("w")) for s in scores]))

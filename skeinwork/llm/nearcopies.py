@@ -19,17 +19,17 @@ from pyspark.sql import types as T
 
 from skeinwork.llm.words import distinct, page_words, pieces, scramble
 from skeinwork.operators.components import components
-from skeinwork.operators.joins import join_key_stats, small
-from skeinwork.session import spread, stage
+from skeinwork.operators.joins import BROADCAST_ROWS, join_key_stats, small
+from skeinwork.session import extent, spread, stage
 
 WORDS, ALIKE = 3, 0.45
 #: Trie shards per text, hashes that agree within a shard, hashes of a code (two bits each).
 SHARDS, AGREE, CODE = 56, 3, 128
 HASHES = max(SHARDS * AGREE, CODE)
-#: Rows of a shard that are joined in one piece; larger shards are cut along the trie.
-TILE = 2000
-#: Node pairs with up to so many rows in either node are compared row by row.
-LEAF = 8
+#: Rows of a shard that are joined in one piece. A larger shard is split into FINER ones by FINER_AGREE further hashes each.
+TILE, FINER, FINER_AGREE = 2000, 24, 2
+#: Node pairs with up to so many rows in either node are compared word by word, behind the first START bits.
+LEAF, START = 8, 8
 PAGES = 1000
 
 _rng = np.random.default_rng(20240229)
@@ -77,8 +77,8 @@ class Sketcher:
         return out
 
 
-def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shard keys and code words of a set."""
+def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Shard keys, code words, and 16 bits of every minimum hash of a set."""
     x = scramble(s.astype(np.uint64))
     low = np.full(HASHES, np.uint64(2**64 - 1))
     for i in range(0, len(x), 4096):
@@ -91,7 +91,26 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.arange(SHARDS, dtype=np.uint64)
     for k in range(AGREE):
         key = scramble(key * np.uint64(0x9E3779B97F4A7C15) + heads[:, k])
-    return key, code
+    return key, code, (mixed >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
+_FINER = np.array([_rng.choice(HASHES, FINER_AGREE, replace=False) for _ in range(256 * FINER)])
+
+
+def finer_keys(key: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """For each row of a shard ``FINER`` keys of smaller shards, from its shard's key and further minimum hashes.
+
+    ``marks``: (rows, HASHES) of 16 bits. Which hashes these are depends on the shard, so that what one shard parts another one
+    may still join. Rows of similarity s share each smaller shard with a chance of s ** FINER_AGREE.
+    """
+    out = np.empty((len(key), FINER), np.uint64)
+    start = (key % np.uint64(256)).astype(np.int64) * FINER
+    for j in range(FINER):
+        k = scramble(key + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        for column in _FINER[start + j].T:
+            k = scramble(k * np.uint64(0x9E3779B97F4A7C15) + marks[np.arange(len(key)), column].astype(np.uint64))
+        out[:, j] = k
+    return out
 
 
 def trie_join(group: np.ndarray, side: np.ndarray, code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +118,8 @@ def trie_join(group: np.ndarray, side: np.ndarray, code: np.ndarray, most: int)
 
     ``group``: ascending; ``side``: 0 for groups joined with themselves, else 1 and 2 for the two nodes to be joined;
     ``code``: (rows, words) of unsigned 64-bit words. All tries are walked at once, level by level: a node is a range of the
-    sorted codes, and a pair of nodes becomes up to four pairs of their children.
+    sorted codes, a pair of nodes becomes up to four pairs of their children, and a pair whose differing bits exceed ``most`` is
+    dropped with all below it. Behind the first ``START`` bits, pairs of small nodes take the rest of their path 64 bits a step.
     """
     order = np.lexsort((*code.T[::-1], side, group))
     g, s, c = group[order], side[order], code[order]
@@ -120,7 +140,7 @@ def trie_join(group: np.ndarray, side: np.ndarray, code: np.ndarray, most: int)
     for bit in range(64 * code.shape[1] + 1):
         if not len(al):
             break
-        fine = (ah - al <= LEAF) & (bh - bl <= LEAF)
+        fine = (ah - al <= LEAF) & (bh - bl <= LEAF) & (bit >= START)
         if bit == 64 * code.shape[1]:
             fine[:] = True
         if fine.any():
@@ -129,9 +149,10 @@ def trie_join(group: np.ndarray, side: np.ndarray, code: np.ndarray, most: int)
                 differ = np.zeros(len(x), np.int64)
                 for w in range(code.shape[1]):
                     differ += np.bitwise_count(c[x, w] ^ c[y, w])
-                ok = differ <= most
-                left.append(order[x[ok]])
-                right.append(order[y[ok]])
+                    ok = differ <= most
+                    x, y, differ = x[ok], y[ok], differ[ok]
+                left.append(order[x])
+                right.append(order[y])
             al, ah, bl, bh, err = al[~fine], ah[~fine], bl[~fine], bh[~fine], err[~fine]
             if not len(al):
                 break
@@ -163,7 +184,7 @@ def _rows(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> tup
 
 _TEXTS = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("seqs", T.BinaryType()),
-    T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(f"c{w}", T.LongType()) for w in range(2 * CODE // 64)],
+    T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType()), *[T.StructField(f"c{w}", T.LongType()) for w in range(2 * CODE // 64)],
 ])
 
 
@@ -180,11 +201,11 @@ def _texts(df: DataFrame, id_column: str, page_column: str, words: int) -> DataF
                     continue
                 digests = np.array([[h >> 64, h & (2**64 - 1)] for h in (xxhash.xxh3_128_intdigest(sets[i].tobytes()) for i in rows)], np.uint64).view(np.int64)
                 deltas = [np.diff(sets[i], prepend=np.uint32(0)).tobytes() for i in rows]
-                keys, codes = zip(*(sketch(sets[i]) for i in rows), strict=True)
+                keys, codes, marks = zip(*(sketch(sets[i]) for i in rows), strict=True)
                 codes = np.array(codes).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SHARDS), pa.array(np.concatenate(keys).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(deltas, pa.binary()), lists, *[pa.array(codes[:, w]) for w in range(codes.shape[1])]],
+                    [batch.column(0).take(pa.array(rows)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(deltas, pa.binary()), lists, pa.array(marks, pa.binary()), *[pa.array(codes[:, w]) for w in range(codes.shape[1])]],
                     names=_TEXTS.names,
                 )
 
@@ -235,24 +256,53 @@ def _shard_join(most: int):  # noqa: ANN202
     return run
 
 
+_CODES = [f"c{w}" for w in range(2 * CODE // 64)]
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """``key``, ``k1`` of the smaller shards of ``rows`` (``key``, ``k1``, ``marks``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                b = whole.slice(at, 20_000)
+                marks = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, HASHES)
+                keys = finer_keys(b.column(0).to_numpy().view(np.uint64), marks)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(1).to_numpy(), FINER))], names=["key", "k1"])
+
+    return rows.mapInArrow(run, "key bigint, k1 bigint")
+
+
+def _shared(keys: DataFrame, label: str) -> DataFrame:
+    """``key``, ``n`` of the shards with more than one row; counts are combined on the map side."""
+    return stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), label)
+
+
 def _candidates(texts: DataFrame, most: int) -> DataFrame:
-    """Pairs (a < b) of text ids that lie within the error budget in some shard."""
-    words = [f"c{w}" for w in range(2 * CODE // 64)]
-    rows = texts.select(F.explode("keys").alias("key"), "k1", *words)
-    # shards are counted by hashed buckets, of about 32 rows each, so that the counts combine on the map side
-    total = texts.count() * SHARDS
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / 32)), 10, 40))
-    bucket = F.shiftrightunsigned("key", 64 - bits)
-    hot = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    hot = stage(hot.select("bucket", F.ceil(F.log2(F.col("n") / F.lit(float(TILE)))).cast("int").alias("levels")), "hot-shards")
-    rows = rows.withColumn("bucket", bucket).join(small(hot), "bucket", "left").withColumn("levels", F.least(F.coalesce("levels", F.lit(0)), F.lit(16)))
-    # a large shard is cut at a level of its trie; each pair of nodes there, within the budget, is one piece of work
-    block = F.when(F.col("levels") == 0, 0).otherwise(F.expr("shiftrightunsigned(c0, 64 - levels)")).cast("int")
-    rows = rows.withColumn("block", block)
-    partners = F.sequence(F.lit(0), (F.pow(F.lit(2), F.col("levels")) - 1).cast("int"))
-    partners = F.filter(partners, lambda o: F.bit_count(o.bitwiseXOR(F.col("block"))) <= most)
-    rows = rows.withColumn("other", F.explode(partners))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1", *words)
+    """Pairs (a < b) of text ids that lie within the error budget in some shard.
+
+    Shards are counted first, by their keys alone: nearly all hold one text and go no further, so that codes move only for
+    texts that have a partner. Shards of more than ``TILE`` texts are replaced by ``FINER`` smaller ones for each text, by further
+    minimum hashes, so that work grows with the texts unless they really are alike. What is still larger then consists of texts of
+    high similarity, most of which are links: it is cut into blocks by hash, and each pair of blocks is one piece of work.
+    """
+    keys = texts.select(F.explode("keys").alias("key"), "k1")
+    shards = _shared(keys, "shards")
+    hot = shards.where(F.col("n") > TILE).select("key")
+    rows = keys.join(small(shards.where(F.col("n") <= TILE).select("key"), shards), "key").withColumn("blocks", F.lit(1))
+    if extent(shards)[0] and shards.agg(F.max("n")).first()[0] > TILE:
+        crowded = keys.join(small(hot), "key").join(texts.select("k1", "marks"), "k1").select("key", "k1", "marks")
+        finer = stage(_finer(crowded), "finer-keys")
+        counts = _shared(finer, "finer-shards").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+        rows = rows.unionByName(finer.join(small(counts), "key"))
+    rows = stage(rows, "shard-rows")
+    needed = rows.select("k1").distinct()
+    codes = texts.join(small(needed, rows), "k1", "left_semi").select("k1", *_CODES)
+    if extent(rows)[0] <= BROADCAST_ROWS:
+        codes = F.broadcast(codes)
+    block = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k1").join(codes, "k1")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(_shard_join(most), "a bigint, b bigint").distinct()
 
@@ -298,10 +348,10 @@ def near_copies(df: DataFrame, id_column: str, page_column: str, words: int = WO
     # of the rows of a text one is kept; the others, copies and repeated records, are members only
     others = texts.select("id", "k1", "k2", "r").join(small(stage(copied, "copied")), ["k1", "k2"]).where("r <> kept")
     others = stage(others.select("r", "id", "representative"), "copies")
-    single = texts.join(small(others.select("r")), "r", "left_anti")
+    single = texts.join(small(others.select("r"), others), "r", "left_anti")
     pairs = stage(_candidates(single, budget(alike)), "candidates")
     needed = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
-    sets = single.select("k1", "id", "seqs").join(small(needed), "k1", "left_semi")
+    sets = single.select("k1", "id", "seqs").join(small(needed, pairs), "k1", "left_semi")
     left, right = (sets.select(F.col("k1").alias(s), F.col("id").alias(f"id_{s}"), F.col("seqs").alias(f"seqs_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b").select("id_a", "id_b", "seqs_a", "seqs_b").mapInArrow(_exact(alike), "a string, b string, similarity double")
     links = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").where("a <> b")
@@ -315,7 +365,7 @@ def link_rows(links: DataFrame, members: DataFrame) -> DataFrame:
     Copies are not paired with one another, and of two linked texts with copies each copy is paired with the other
     text's representative, so rows grow with copies, not with their square.
     """
-    copies = stage(members.where("id <> representative"), "copies")
+    copies = stage(members.where("id <> representative"), "copied-members")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     carried = both.join(small(copies), both.a == copies.representative).select("id", F.col("b").alias("other"))
     rows = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(copies.select("id", F.col("representative").alias("other"))).unionByName(carried)

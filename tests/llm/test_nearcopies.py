@@ -97,3 +97,29 @@ def test_empty_and_long(spark):
     long = [f"{rng.randrange(10**9)}" for _ in range(120_000)]
     links, _ = nc.near_copies(frame(spark, [("x", " ".join(long)), ("y", " ".join(long[:-500]))]), "url_hash", "page")
     assert linked(links)["x", "y"] == pytest.approx((120_000 - 502) / (120_000 - 2), abs=1e-3)
+
+
+def test_crowded_shards_are_split_and_keep_their_pairs(monkeypatch):
+    """Texts that share a shard's hashes by common boilerplate: work grows with the texts, and near copies still meet."""
+    monkeypatch.setattr(nc, "TILE", 50)
+    rng = np.random.default_rng(11)
+    n = 4000
+    marks = rng.integers(0, 2**16, (n, nc.HASHES), dtype=np.uint16)
+    for i in range(0, n, 2):  # pairs at a similarity of 0.45
+        same = rng.random(nc.HASHES) < 0.45
+        marks[i + 1, same] = marks[i, same]
+    met = np.zeros(n // 2, bool)
+    for shard in rng.integers(0, 2**63, 2).astype(np.uint64):
+        keys = nc.finer_keys(np.full(n, shard), marks)
+        met |= (keys[0::2] == keys[1::2]).any(axis=1)
+        _, sizes = np.unique(keys, return_counts=True)
+        assert keys.shape == (n, nc.FINER) and sizes.max() <= 4
+    assert met.mean() > 0.99
+
+
+def test_crowded_shards_end_to_end(spark, monkeypatch):
+    pages = versions(5, texts=40, copies=4)
+    whole = linked(nc.near_copies(frame(spark, pages), "url_hash", "page")[0])
+    monkeypatch.setattr(nc, "TILE", 2)
+    got = linked(nc.near_copies(frame(spark, pages), "url_hash", "page")[0])
+    assert set(got) <= set(whole) and len(got) >= 0.99 * len(whole)
