@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Container
 from dataclasses import dataclass
 from functools import lru_cache
 
+import xxhash
+
 from skeinwork.llm.words import closed
 
 # HTML element names by their role in a page.
@@ -72,7 +75,7 @@ class Page:
         tags, parents, holders, hidden = ["#"], [0], [False], [False]
         self.tags, self.parents, self.holders, self.hidden = tags, parents, holders, hidden
         self.segments: list[Segment] = []
-        self._marks: list[bool] | None = None
+        self.marks: list[bool] = []
         stack, line, at = [0], 0, 0
         text: list[str] = []
         inner = outer = 0
@@ -182,11 +185,9 @@ class Page:
             feed(source[at:])
         flush()
 
-    def marks(self) -> list[bool]:
-        """For each segment whether it is furniture."""
-        if self._marks is None:
-            self._marks = [furniture(s.text) for s in self.segments]
-        return self._marks
+    def mark(self, recurring: Container[int]) -> None:
+        """Marks the segments that are furniture: bylines, and lines whose shape is one of ``recurring``."""
+        self.marks = [self.tags[s.node] not in SHORT_FORMS and (dated(s.text) or line_shape(s.text) in recurring) for s in self.segments]
 
     def containers(self) -> list[int]:
         """For each segment the element that its points go to."""
@@ -221,7 +222,7 @@ def main_body(page: Page, heard: bool = False) -> list[int]:
     at least half of it with paragraphs of like length; navigation, asides, headers and footers never count. ``heard``: also
     count text that is hidden from readers, and all text by its length.
     """
-    segments, homes, marks = page.segments, page.containers(), page.marks()
+    segments, homes, marks = page.segments, page.containers(), page.marks
     n = len(page.tags)
     aside = page.within({i for i in range(1, n) if page.tags[i] in ASIDE})
     score, chars, linked, count = [0.0] * n, [0] * n, [0] * n, [0] * n
@@ -266,67 +267,61 @@ def main_body(page: Page, heard: bool = False) -> list[int]:
     return [i for i, s in enumerate(segments) if inside[s.node] and not aside[s.node] and (heard or not s.hidden)]
 
 
-# Wordings of page furniture, by kind. Each is matched against a whole line of visible text.
+# How dates are written.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec"
 DATE = re.compile(rf"\b\d{{1,2}}\.? (?:{MONTHS})\.?,? \d{{4}}\b|\b(?:{MONTHS})\.? \d{{1,2}},? \d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}}\b", re.I)
-BYLINE = re.compile(r"^(?:posted|published|updated|last updated|last modified|filed|written|by|from|reported|reading time)\b|\b(?:staff writer|correspondent|editor|reading time|min(?:ute)? read|in brief)\b|\bdesk\b", re.I)
-SHARE = frozenset("share shares this tweet retweet pin it post mail email e-mail print copy link like save for later page article send whatsapp facebook twitter linkedin reddit pinterest telegram to a friend on via".split())
-SHARE_FIRST = SHARE | {""}
-SHARE_VERBS = frozenset("share tweet pin print email mail like save".split())
 FIGURES = frozenset("0123456789")
-COMMENTS = re.compile(
-    r"^(?:\d+|no|view all|show|all|leave a|add a|post a|write a) (?:reader |user )?(?:comments?|replies|reply|responses?)(?: yet| below| here)?(?:\W*$|\s*[|·(]|\s*[-–—:]\s*(?:join|add|leave|post|write|view|show|log|sign)\b)"
-    r"|^\W*join the (?:discussion|conversation|debate)(?: below| here)?\W*$",
-    re.I,
-)
-PROMOTION = re.compile(
-    r"^advertisements?\b(?:\W*$|\W+(?:the )?article continues below\b)|^(?:sponsored|promoted|promotion|advertorial)\b(?:\W*$|\s*[-–—:|])|^unsubscribe\b|^(?:sign up|subscribe|register)\b.*\b(?:newsletters?|updates|alerts)\b|\bour (?:\w+ )?newsletters?\b.*\b(?:sign up|subscribe|inbox|every|stories|weekly|daily)\b"
-    r"|^newsletters?\b.*\b(?:sign up|subscribe|inbox)\b|^(?:download|get|install) (?:the|our)\b.{0,60}\bapp\b|^(?:free|fast|next-day) (?:delivery|shipping)\b.{0,80}\b(?:shop|store|order|orders|basket|baskets)\b|^enjoy(?:ing|ed) (?:this|the) (?:article|story|piece)\b"
-    r"|^become a (?:member|supporter|subscriber)\b|^support (?:our|independent) journalism\b|^our (?:best|latest) (?:offers|deals)\b|^(?:the )?article continues below\b",
-    re.I,
-)
-NOTICE = re.compile(
-    r"^(?:we|this (?:site|website|page))\b.{0,30}\b(?:use|uses|place|places|set|sets) (?:\w+ )?cookies?\b|^before you continue\b.*\bcookies?\b|^ok, got it\b|(?:^|[|·] ?)(?:cookie settings|accept (?:all )?cookies)(?: ?[|·]|\W*$)|\ball rights reserved\.|\ball rights reserved$|^©\s|^(?:\(c\)|copyright)\s\d"
-    r"|\bterms of use, privacy policy\b|(?:^|[|·] ?)(?:terms of use|privacy policy)(?: ?[|·]|\W*$)|^your privacy matters\b|^this site stores small files on your device\b|\bregistered office: |\bis not responsible for the content of external links\b|\bfound a mistake\? .*\beditors?\b",
-    re.I,
-)
-
-
-# Pieces of text without which no pattern above can match; they spare most lines the patterns.
-CUES = (
-    "cookie", "newsletter", "unsubscribe", "subscribe", "sign up", "register", "advert", "sponsor", "promot", " app", "delivery", "shipping", "enjoy", " ads", "become a", "journalism", "our best",
-    "our latest", "article continues", "rights reserved", "©", "(c)", "copyright", "terms of use", "privacy", "device", "trading name", "external links", "mistake", "comment", "repl", "response", "join the",
-)
+#: Words of a line with a date that is no sentence, at most, and of a recurring line without names or figures, at least.
+BYLINE_WORDS, LEAST_WORDS = 12, 5
+PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+#: Headings, items and cells repeat themselves ("Sources", "0") without being furniture.
+SHORT_FORMS = HEADINGS | frozenset("li td th dt dd blockquote pre caption figcaption summary".split())
 
 
 @lru_cache(maxsize=1 << 15)
-def furniture(text: str) -> bool:
-    """Whether a line is a byline, a row of share buttons, the head of reader comments, a promotion or a notice.
+def line_shape(text: str) -> int | None:
+    """A hash of a line's wording: lower-cased, every number one sign, every run of names (capitals within the line) another.
 
-    Sites repeat their furniture, so that most of it is known already when a page comes.
+    None for lines that say too little to be told from one another: of less than ``LEAST_WORDS`` words, none of them a name or number.
     """
-    lower = text.lower()
-    if len(text) <= 140:
-        words = lower.split()
-        if len(words) <= 14:
-            dated = ("reading time" in lower) or (not FIGURES.isdisjoint(lower) and DATE.search(text))
-            if dated and (BYLINE.search(text) or len(words) <= 6 and len(DATE.sub("", text).split()) <= 1):
-                return True
-            if len(words) <= 12 and words and words[0].strip(".:,;|·-–—") in SHARE_FIRST:
-                plain = [w for w in (x.strip(".:,;|·-–—") for x in words) if w]
-                if plain and all(w in SHARE for w in plain) and not SHARE_VERBS.isdisjoint(plain):
-                    return True
-    if not any(c in lower for c in CUES):
-        return False
-    return bool(COMMENTS.search(text) or PROMOTION.search(text) or NOTICE.search(text))
-
-
-def article_segments(page: Page, heard: bool = False) -> list[int]:
-    """Segments of the main body without furniture; what follows the head of reader comments is left out."""
-    out, marks = [], page.marks()
-    for i in main_body(page, heard):
-        if not marks[i]:
-            out.append(i)
-        elif COMMENTS.search(page.segments[i].text):
-            break
+    out: list[str] = []
+    words = slots = 0
+    for w in PIECE.findall(text):
+        if w[0].isdigit():
+            w = "0"
+            slots += 1
+        elif w[0].isalpha():
+            words += 1
+            if w[0].isupper() and out:
+                w = "X"
+                slots += 1
+                if out[-1] == "X":
+                    continue
+            else:
+                w = w.lower()
+        out.append(w)
+    if not slots and words < LEAST_WORDS:
+        return None
+    return xxhash.xxh3_64_intdigest(" ".join(out)) - 2**63
+
+
+@lru_cache(maxsize=1 << 15)
+def dated(text: str) -> bool:
+    """Whether a line is a byline by its form: short, with a date, and no sentence."""
+    return not FIGURES.isdisjoint(text) and not text.endswith((".", "!", "?")) and bool(DATE.search(text)) and len(text.split()) <= BYLINE_WORDS
+
+
+def line_contexts(page: Page) -> set[tuple[int, int]]:
+    """The shape of every line of a page, with a hash of the line before it."""
+    out, before = set(), 0
+    for s in page.segments:
+        if page.tags[s.node] not in SHORT_FORMS and (shape := line_shape(s.text)) is not None:
+            out.add((shape, before))
+        before = xxhash.xxh3_64_intdigest(s.text) - 2**63
     return out
+
+
+def article_segments(page: Page, recurring: Container[int] = (), heard: bool = False) -> list[int]:
+    """Segments of the main body without furniture: bylines, and lines whose shape is one of ``recurring``."""
+    page.mark(recurring)
+    return [i for i in main_body(page, heard) if not page.marks[i]]

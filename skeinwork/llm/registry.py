@@ -41,14 +41,17 @@ def _wanted_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Line numbers of the article in every wanted page."""
-    return bodies.body_lines(_wanted_pages(spark, root), "url_hash", "page").select(F.col("id").alias("url_hash"), "line_no").distinct()
+    """Line numbers of the article in every wanted page; what recurs is learned from all stored pages."""
+    recurring = bodies.recurring_lines(table(spark, root, "page_cache"), "page", by_line=True)
+    return bodies.body_lines(_wanted_pages(spark, root), "url_hash", "page", recurring).select(F.col("id").alias("url_hash"), "line_no").distinct()
 
 
 def p5_crawl_bodies(spark: SparkSession, root: str) -> DataFrame:
-    """The text of the main body of every crawled page."""
+    """The text of the main body of every crawled page; rows that repeat a page are told by a digest before they are shuffled."""
     pages = table(spark, root, "crawl").select("url_hash", "page").where("page IS NOT NULL")
-    return bodies.body_text(pages, "url_hash", "page").select(F.col("id").alias("url_hash"), "body").distinct()
+    recurring = bodies.recurring_lines(pages, "page", by_line=False)
+    found = bodies.body_text(pages, "url_hash", "page", recurring).select(F.col("id").alias("url_hash"), "body")
+    return found.groupBy("url_hash", F.sha2("body", 256).alias("digest")).agg(F.first("body").alias("body")).select("url_hash", "body")
 
 
 # -- 4: one ranking from several scores
