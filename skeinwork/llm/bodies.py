@@ -36,15 +36,24 @@ def recurring_lines(df: DataFrame, page_column: str, by_line: bool) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["shape", "before", "pages"])
 
     rows = spread(df.where(df[page_column].isNotNull()).select(df[page_column])).mapInArrow(run, "shape bigint, before bigint, pages bigint")
+    return often(rows)
+
+
+def often(rows: DataFrame) -> DataFrame:
+    """``shape`` of the lines that recur, from their contexts (``shape``, ``before``) and the number of ``pages`` (in rows without a shape)."""
     contexts = rows.groupBy("shape", "before").agg(F.sum("pages").alias("pages"))
     counts = stage(contexts.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.sum("pages").alias("pages")), "line-shapes")
     pages = counts.where("shape IS NULL").agg(F.sum("pages")).first()[0] or 0
     return counts.where(F.col("shape").isNotNull() & (F.col("n") >= max(LEAST_PAGES, RECURS * pages))).select("shape")
 
 
+def shapes_of(recurring: DataFrame) -> list[int]:
+    """The shapes, on the driver: their number is bounded by how they were found."""
+    return sorted(recurring.toArrow().column(0).to_pylist())
+
+
 def _sent(recurring: DataFrame) -> Broadcast:
-    """The shapes as a set in every task; their number is bounded by how they were found."""
-    return recurring.sparkSession.sparkContext.broadcast(frozenset(recurring.toArrow().column(0).to_pylist()))
+    return recurring.sparkSession.sparkContext.broadcast(frozenset(shapes_of(recurring)))
 
 
 def body_lines(df: DataFrame, id_column: str, page_column: str, recurring: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.pagetree import FIGURES, HEADINGS, Page, article_segments
+from skeinwork.llm import bodies
+from skeinwork.llm.pagetree import FIGURES, HEADINGS, SHORT_FORMS, Page, article_segments, line_shape
 from skeinwork.llm.words import MIX, WORD, distinct, pieces, scramble
 from skeinwork.operators.joins import join_key_stats, small
 from skeinwork.session import extent, spread, stage
@@ -41,8 +43,8 @@ PLAIN, HEADING, ITEM, CELL = 0, 1, 2, 3
 DIGITS = re.compile(r"[0-9]+")
 
 
-def page_content(source: str) -> list[tuple[list[str], int]]:
-    """Words and kind of every segment of a page's own content, hidden text included."""
+def content_lines(source: str) -> list[tuple[list[str], int, int, int]]:
+    """Words, kind, shape (0: none) and a hash of the line before of every segment of a page's own content, hidden text included."""
     page = Page(source, False)
     out = []
     for i in article_segments(page, heard=True):
@@ -51,7 +53,9 @@ def page_content(source: str) -> list[tuple[list[str], int]]:
         text = s.text.lower()
         words = WORD.findall(text if FIGURES.isdisjoint(text) else DIGITS.sub("0", text))
         if words:
-            out.append((words, HEADING if tag in HEADINGS else ITEM if tag in ("li", "dd", "dt") else CELL if tag in ("td", "th") else PLAIN))
+            shape = None if tag in SHORT_FORMS else line_shape(s.text)
+            before = xxhash.xxh3_64_intdigest(page.segments[i - 1].text) - 2**63 if i else 0
+            out.append((words, HEADING if tag in HEADINGS else ITEM if tag in ("li", "dd", "dt") else CELL if tag in ("td", "th") else PLAIN, shape or 0, before))
     return out
 
 
@@ -77,7 +81,7 @@ def content_marks(words: np.ndarray, key: int) -> np.ndarray:
 _MARKS = [f"m{i}" for i in range(MARKS)]
 _CONTENT = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("k", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("sizes", T.BinaryType()), T.StructField("kinds", T.BinaryType()),
-    *(T.StructField(m, T.LongType()) for m in _MARKS),
+    T.StructField("shapes", T.BinaryType()), T.StructField("befores", T.BinaryType()), *(T.StructField(m, T.LongType()) for m in _MARKS),
 ])
 
 
@@ -86,22 +90,24 @@ def _contents(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
         known: dict[str, int] = {}
         for whole in batches:
             for batch in pieces(whole, 1, 1000):
-                words, sizes, kinds, keys, marks = [], [], [], [], []
+                words, sizes, kinds, shapes, befores, keys, marks = [], [], [], [], [], [], []
                 for p in batch.column(1).to_pylist():
-                    parts = page_content(p)
-                    flat = [w for ws, _ in parts for w in ws]
+                    parts = content_lines(p)
+                    flat = [w for ws, *_ in parts for w in ws]
                     for w in set(flat):
                         if w not in known:
                             known[w] = xxhash.xxh32_intdigest(w)
                     hashes = np.fromiter(map(known.__getitem__, flat), np.uint32, len(flat))
                     words.append(hashes.tobytes())
-                    sizes.append(np.array([len(ws) for ws, _ in parts], np.uint32).tobytes())
-                    kinds.append(bytes(k for _, k in parts))
+                    sizes.append(np.array([len(ws) for ws, *_ in parts], np.uint32).tobytes())
+                    kinds.append(bytes(k for _, k, _, _ in parts))
+                    shapes.append(np.array([x for _, _, x, _ in parts], np.int64).tobytes())
+                    befores.append(np.array([x for *_, x in parts], np.int64).tobytes())
                     keys.append(xxhash.xxh3_64_intdigest(words[-1]) - 2**63)
                     marks.append(content_marks(hashes, keys[-1]))
                     if len(known) > 2_000_000:
                         known.clear()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in (words, sizes, kinds)), *map(pa.array, np.array(marks).T.copy())], names=_CONTENT.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *(pa.array(x, pa.binary()) for x in (words, sizes, kinds, shapes, befores)), *map(pa.array, np.array(marks).T.copy())], names=_CONTENT.names)
 
     rows = df.where(df[page_column].isNotNull() & df[id_column].isNotNull()).select(df[id_column].cast("string"), df[page_column])
     return spread(rows).mapInArrow(run, _CONTENT)
@@ -119,16 +125,37 @@ class Content:
     pages: int
 
 
-def unpack(words: list[bytes], sizes: list[bytes], kinds: list[bytes]) -> Content:
+_PARTS = ["words", "sizes", "kinds", "shapes"]
+
+
+def unpack(parts: pa.RecordBatch, recurring: np.ndarray) -> Content:
+    """The pages of a batch of ``_PARTS``, without the segments whose shape is one of ``recurring``."""
+    words, sizes, kinds, shapes = (c.to_pylist() for c in parts.columns)
     w = np.frombuffer(b"".join(words), np.uint32)
     n = np.frombuffer(b"".join(sizes), np.uint32).astype(np.int64)
     k = np.frombuffer(b"".join(kinds), np.uint8)
     page = np.repeat(np.arange(len(kinds)), [len(x) for x in kinds])
+    keep = ~np.isin(np.frombuffer(b"".join(shapes), np.int64), recurring)
+    w, n, k, page = w[np.repeat(keep, n)], n[keep], k[keep], page[keep]
     new = np.ones(len(n), bool)
     new[1:] = (page[1:] != page[:-1]) | (k[1:] != k[:-1]) | (n[1:] >= SHORT) | (n[:-1] >= SHORT) | (k[1:] == HEADING)
     return Content(w, np.repeat(page, n), np.repeat(np.cumsum(new) - 1, n), np.repeat(k, n), len(kinds))
 
 
+def _contexts(contents: DataFrame) -> DataFrame:
+    """Contexts of the lines of contents, as ``bodies.often`` takes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            both = np.stack([np.frombuffer(b"".join(c.to_pylist()), np.int64) for c in b.columns], axis=1)
+            both = np.unique(both[both[:, 0] != 0], axis=0)
+            none = np.arange(len(both) + 1) == len(both)
+            shape, before = (pa.array(np.append(x, 0), mask=none) for x in both.T)
+            yield pa.RecordBatch.from_arrays([shape, before, pa.array(np.where(none, b.num_rows, 0))], names=["shape", "before", "pages"])
+
+    return contents.select("shapes", "befores").mapInArrow(run, "shape bigint, before bigint, pages bigint")
+
+
 def pairs_of(c: Content) -> tuple[np.ndarray, np.ndarray]:
     """Positions of words with a right neighbour in the same run, and those pairs: the left word's hash above the right one's."""
     at = np.flatnonzero(c.run[1:] == c.run[:-1])
@@ -161,14 +188,14 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     return rows.join(small(copies), "r", "left_anti")
 
 
-def corpus_counts(contents: DataFrame) -> DataFrame:
+def corpus_counts(contents: DataFrame, recurring: Broadcast) -> DataFrame:
     """``pair`` (null for words), ``word`` (null for pairs), ``n`` occurrences and ``pages`` that have the pair, of every word and every
     pair of neighbours: exact counts, combined within batches and tasks before they are shuffled. A row without either has the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, 0, 10_000, 32_000_000):
-                c = unpack(*(b.column(i).to_pylist() for i in range(3)))
+                c = unpack(b, recurring.value)
                 words, times = _counted(c.words)
                 at, pair = pairs_of(c)
                 pairs, n = _counted(pair)
@@ -184,17 +211,17 @@ def corpus_counts(contents: DataFrame) -> DataFrame:
                     names=["pair", "word", "n", "pages"],
                 )
 
-    rows = contents.select("words", "sizes", "kinds").mapInArrow(run, "pair bigint, word bigint, n bigint, pages bigint")
+    rows = contents.select(*_PARTS).mapInArrow(run, "pair bigint, word bigint, n bigint, pages bigint")
     return rows.groupBy("pair", "word").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
 
 
-def common_pairs(contents: DataFrame) -> DataFrame:
+def common_pairs(contents: DataFrame, recurring: Broadcast) -> DataFrame:
     """``pair``, ``score`` (normalised mutual information, from -1 to 1) and ``p`` (share of all pairs) of the pairs that at least
     ``SUPPORT`` of the pages have, and ``LEAST_PAGES`` of them.
 
     However large the corpus and its vocabulary, there are at most (mean number of distinct pairs of a page) / ``SUPPORT`` of them.
     """
-    counts = stage(corpus_counts(contents), "counts")
+    counts = stage(corpus_counts(contents, recurring), "counts")
     of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     pairs, words, n = counts.agg(of(F.col("pair").isNotNull()), of(F.col("word").isNotNull()), of(F.coalesce("pair", "word").isNull())).first()
     found = stage(counts.where(F.col("pair").isNotNull() & (F.col("pages") >= max(LEAST_PAGES, SUPPORT * n))).select("pair", "n"), "common")
@@ -260,12 +287,12 @@ def page_scores(c: Content, common: Common) -> dict[str, np.ndarray]:
 _SCORES = "id string, n_words bigint, loose_words bigint, mean_pmi double"
 
 
-def _scored(rows: DataFrame, common: DataFrame) -> DataFrame:
+def _scored(rows: DataFrame, common: DataFrame, recurring: Broadcast) -> DataFrame:
     """The scores of all contents ``rows``. The common pairs are sent to all tasks if they were counted to be ``SENT_PAIRS`` at most;
     else each content is joined with its own."""
 
     def scored(b: pa.RecordBatch, known: Common) -> pa.RecordBatch:
-        got = page_scores(unpack(*(b.column(i).to_pylist() for i in (1, 2, 3))), known)
+        got = page_scores(unpack(b.select(_PARTS), recurring.value), known)
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in got.values())], names=["id", *got])
 
     if extent(common)[0] <= SENT_PAIRS:
@@ -277,26 +304,26 @@ def _scored(rows: DataFrame, common: DataFrame) -> DataFrame:
                 for b in pieces(whole, 1, 10_000, 32_000_000):
                     yield scored(b, sent.value)
 
-        return rows.select("id", "words", "sizes", "kinds").mapInArrow(run, _SCORES)
+        return rows.select("id", *_PARTS).mapInArrow(run, _SCORES)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, 1, 10_000, 32_000_000):
-                c = unpack(*(b.column(i).to_pylist() for i in (1, 2, 3)))
+                c = unpack(b.select(_PARTS), recurring.value)
                 at, pair = pairs_of(c)
                 once = _once_a_page(c.page[at], pair)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c.page[at][once])), pa.array(pair[once].view(np.int64))], names=["r", "pair"])
 
-    own = stage(rows.select("r", "words", "sizes", "kinds").mapInArrow(pairs, "r bigint, pair bigint").join(common.select("pair"), "pair", "left_semi"), "own-pairs")
+    own = stage(rows.select("r", *_PARTS).mapInArrow(pairs, "r bigint, pair bigint").join(common.select("pair"), "pair", "left_semi"), "own-pairs")
     stats = stage(own.groupBy("pair").agg(F.count(F.lit(1)).alias("__n")).join(common, "pair"), "pair-rows")
     total = stats.agg(F.sum("__n")).first()[0] or 0
     lists = join_key_stats(own, stats, ["pair"], "__n", total).groupBy("r").agg(*[F.collect_list(c).alias(f"__{c}") for c in ("pair", "score", "p")])
-    joined = rows.select("r", "id", "words", "sizes", "kinds").join(lists, "r", "left").drop("r")
+    joined = rows.select("r", "id", *_PARTS).join(lists, "r", "left").drop("r")
 
     def with_own(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, 1, 1000, 8_000_000):
-                yield scored(b, as_common(*(b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 5, 6))))
+                yield scored(b, as_common(*(b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (5, 6, 7))))
 
     return joined.mapInArrow(with_own, _SCORES)
 
@@ -305,7 +332,8 @@ def incoherence(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     """One row per page: ``id``, ``n_words`` of its own content, ``loose_words`` (words in runs whose neighbours are, on the mean,
     below ``COHERENT``: keyword strings, tag lists, bare links), ``loose_share`` and ``mean_pmi``.
 
-    Own content is the main body of the page, hidden text included, without menus, notices and the like; headings count
+    Own content is the main body of the page, hidden text included, without menus, notices and the like (lines that recur behind many
+    different lines, ``bodies.recurring_lines``); headings count
     as words, never as loose ones. Pages are parsed once and all get a row; the counts are exact, and take one content of each group of
     copies and near copies, so that however often a page is mirrored its pairs don't support themselves.
 
@@ -313,7 +341,8 @@ def incoherence(df: DataFrame, id_column: str, page_column: str) -> DataFrame:
     row with the largest share; pages without content have 0 words and a share of 0.0; an empty table gives no rows.
     """
     rows = stage(_contents(df, id_column, page_column).withColumn("r", F.monotonically_increasing_id()), "contents")
-    out = _scored(rows, common_pairs(one_of_each(rows)))
+    recurring = df.sparkSession.sparkContext.broadcast(np.array(bodies.shapes_of(bodies.often(_contexts(rows))), np.int64))
+    out = _scored(rows, common_pairs(one_of_each(rows), recurring), recurring)
     share = F.col("loose_words") / F.greatest("n_words", F.lit(1))
     out = out.withColumn("loose_share", share)
     return out.groupBy("id").agg(F.max(F.struct("loose_share", "n_words", "loose_words", "mean_pmi")).alias("m")).select("id", "m.n_words", "m.loose_words", "m.loose_share", "m.mean_pmi")

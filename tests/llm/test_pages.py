@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from skeinwork.llm import bodies, coherence
@@ -186,12 +187,16 @@ def test_spam_edges(spark):
     assert coherence.incoherence(one, "id", "page").first().n_words == 300_000
 
 
+def nothing(spark):
+    return spark.sparkContext.broadcast(np.empty(0, np.int64))
+
+
 def test_counts_do_not_depend_on_the_partitions(spark):
     df = spark.createDataFrame(spam_rows(), "id string, page string")
     contents = coherence._contents(df, "id", "page")
-    a, b = ({tuple(r) for r in coherence.corpus_counts(x).collect()} for x in (contents.repartition(7), contents.coalesce(1)))
+    a, b = ({tuple(r) for r in coherence.corpus_counts(x, nothing(spark)).collect()} for x in (contents.repartition(7), contents.coalesce(1)))
     assert a == b and len(a) > 100
-    words = [w for _, p in spam_rows() for ws, _ in coherence.page_content(p) for w in ws]
+    words = [w for _, p in spam_rows() for ws, *_ in coherence.content_lines(p) for w in ws]
     assert sum(n for _, w, n, _ in a if w is not None) == len(words) and len([w for _, w, _, _ in a if w is not None]) == len(set(words)) and (None, None, len(spam_rows()), len(spam_rows())) in a
 
 
@@ -212,6 +217,6 @@ def test_many_distinct_pairs_hide_no_spam(spark):
     spam = [(f"spam{i}", f"<body><div><h1>T</h1><p>{', '.join(own() + ' ' + own() for _ in range(40))}</p></div></body>") for i in range(60)]
     df = spark.createDataFrame(spam_rows() + rows + spam, "id string, page string")
     contents = coherence._contents(df, "id", "page")
-    assert coherence.corpus_counts(contents).where("pair IS NOT NULL").count() > 140_000
+    assert coherence.corpus_counts(contents, nothing(spark)).where("pair IS NOT NULL").count() > 140_000
     got = {r.id for r in coherence.incoherence(df, "id", "page").where(f"loose_share > {coherence.SPAM_SHARE}").collect()}
     assert got >= {"s0", "s1", "s2", "s3"} | {s for s, _ in spam}
