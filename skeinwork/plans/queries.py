@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import html, urls
-from skeinwork.functions.text import exploded_tokens
+from skeinwork.functions.text import exploded_tokens, stem_udf
 from skeinwork.operators.dataflow import Context, Pairs, Values
 from skeinwork.plans import corpus, crawl, index, pagerank, search, sql
+from skeinwork.session import drop_later, stage, staging_root
 from skeinwork.sources import store
 from skeinwork.sources.tables import table
 
@@ -152,6 +156,29 @@ def take_n(spark: SparkSession, root: str) -> DataFrame:
     return _values(spark, root, "orders", "o_orderkey").df.limit(5)
 
 
+@query("SELECT count(*) AS n_all, true AS near, true AS part FROM orders")
+def sample_share(spark: SparkSession, root: str) -> DataFrame:
+    """Whether a sample of a half has about the half of the elements (six standard deviations) and only elements of the whole."""
+    whole = _values(spark, root, "orders", "o_orderkey")
+    some = whole.sample(0.5, seed=3).df.groupBy("value").agg(F.count(F.lit(1)).alias("s"))
+    both = whole.df.groupBy("value").agg(F.count(F.lit(1)).alias("n")).join(some, "value", "full").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0)).alias("s"))
+    near = F.abs(F.sum("s") - F.sum("n") / 2) <= 3 * F.sqrt(F.sum("n").cast("double"))
+    return both.agg(F.sum("n").alias("n_all"), near.alias("near"), (F.max(F.col("s") - F.col("n")) <= 0).alias("part"))
+
+
+@query("SELECT least(5, count(*)) AS n, least(5, count(*)) AS known FROM orders")
+def take_known(spark: SparkSession, root: str) -> DataFrame:
+    """How many elements ``take`` gives, and how many of these the whole has."""
+    whole = _values(spark, root, "orders", "o_orderkey")
+    got = spark.createDataFrame([(v,) for v in whole.take(5)], "value string")
+    return got.join(whole.df.select("value", F.lit(1).alias("k")), "value", "left").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("known"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_nationkey IS NOT NULL AND c_name IS NOT NULL")
+def pair_count(spark: SparkSession, root: str) -> DataFrame:
+    return spark.range(1).select(F.lit(_pairs(spark, root, "customer", "c_nationkey", "c_name").count()).cast("bigint").alias("n"))
+
+
 @query("SELECT DISTINCT l_shipdate::DATE::VARCHAR AS value FROM lineitem")
 def distinct_values(spark: SparkSession, root: str) -> DataFrame:
     return Context(spark).from_table(table(spark, root, "lineitem"), F.col("l_shipdate").cast("date").cast("string")).distinct().df
@@ -337,6 +364,78 @@ def table_count(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "page_cache").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _database(spark: SparkSession) -> store.Catalog:
+    """A catalog of its own, whose tables lie in the shared folder."""
+    name = f"skein_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{staging_root(spark)}/{name}'")
+    return store.Catalog(spark, name)
+
+
+def _closed(catalog: store.Catalog, result: DataFrame) -> DataFrame:
+    """A result that outlives the catalog's tables."""
+    out = stage(result, "result")
+    catalog.spark.sql(f"DROP DATABASE {catalog.database} CASCADE")
+    return out
+
+
+@query("SELECT n_name AS key, n_regionkey AS region FROM nation UNION ALL SELECT 'added', 9")
+def catalog_write(spark: SparkSession, root: str) -> DataFrame:
+    """A table that is persisted empty, written twice and renamed."""
+    c = _database(spark)
+    rows = table(spark, root, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("bigint").alias("region"))
+    c.persist("first", "key string, region bigint")
+    c.write("first", rows)
+    c.write("first", spark.createDataFrame([("added", 9)], "key string, region bigint"))
+    c.rename("first", "second")
+    return _closed(c, c.table("second"))
+
+
+@query("SELECT * FROM (VALUES ('a', 0::BIGINT), ('b', (SELECT count(*) FROM region)), ('c', 0)) t(name, n)")
+def catalog_count(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of an empty table, of one with rows, and of one that was deleted."""
+    c = _database(spark)
+    rows = table(spark, root, "region").select(F.col("r_name").alias("key"))
+    c.persist("a", "key string")
+    c.write("b", rows)
+    c.write("c", rows)
+    c.delete("c")
+    return _closed(c, spark.createDataFrame([(t, c.count(t)) for t in ("a", "b", "c")], "name string, n bigint"))
+
+
+@query("SELECT * FROM (VALUES ('a', 0::BIGINT, false, true), ('b', (SELECT count(*) FROM region), true, true)) t(name, n_rows, has_bytes, persistent)")
+def catalog_tables(spark: SparkSession, root: str) -> DataFrame:
+    """The list of tables with their size."""
+    c = _database(spark)
+    c.persist("a", "key string")
+    c.write("b", table(spark, root, "region").select(F.col("r_name").alias("key")))
+    return _closed(c, c.sizes().select("name", "n_rows", (F.col("n_bytes") > 0).alias("has_bytes"), "persistent"))
+
+
+@query("SELECT url, max_by(current_score, struct_pack(a := computed_at, b := current_score)) AS current_score FROM pageranks WHERE url IS NOT NULL AND current_score IS NOT NULL GROUP BY url")
+def catalog_compact(spark: SparkSession, root: str) -> DataFrame:
+    """A log of ranks as a table, rewritten with the last record of each key."""
+    c = _database(spark)
+    c.write("log", table(spark, root, "pageranks").where("url IS NOT NULL AND current_score IS NOT NULL").select("url", "current_score", "computed_at"))
+    c.compact("log", ["url"], F.struct("computed_at", "current_score"))
+    return _closed(c, c.table("log").select("url", "current_score"))
+
+
+@query("SELECT p_name AS value FROM part WHERE p_name IS NOT NULL UNION ALL SELECT unnest(['x', 'y', 'x'])")
+def saved_values(spark: SparkSession, root: str) -> DataFrame:
+    """Elements saved as a table, and given ones added to it."""
+    c = _database(spark)
+    name = f"{c.database}.kept"
+    _values(spark, root, "part", "p_name").save_as_table(name)
+    Context(spark).parallelize(["x", "y", "x"], table=name)
+    return _closed(c, Context(spark).from_table(name, F.col("value")).df)
+
+
+@query("SELECT n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation")
+def saved_pairs(spark: SparkSession, root: str) -> DataFrame:
+    c = _database(spark)
+    return _closed(c, _pairs(spark, root, "nation", "n_name", "n_regionkey").save_as_table(f"{c.database}.pairs").df)
+
+
 # -- pages
 
 
@@ -394,7 +493,11 @@ def url_hash(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").where("url IS NOT NULL").select("url", urls.url_key(F.col("url")).alias("url_hash")).distinct()
 
 
-@query()
+@query(
+    """SELECT DISTINCT url, array_to_string(list_transform(list_transform(range(0, 20), lambda i: ('0x' || substring(sha1(url), 2 * i + 1, 2))::INT),
+    lambda b: chr(CAST(97 + (CASE WHEN b = 0 THEN 255 WHEN b < 128 THEN b ELSE b - 1 END) % 26 AS INT)) || chr(CAST(97 + 2 * ((CASE WHEN b = 0 THEN 255 WHEN b < 128 THEN b ELSE b - 1 END) // 26) AS INT))), '') AS key
+    FROM pages WHERE url IS NOT NULL"""
+)
 def url_letter_hash(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").where("url IS NOT NULL").select("url", urls.letter_hash(F.sha1("url")).alias("key")).distinct()
 
@@ -414,13 +517,50 @@ def range_overlap(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "supplier").select("s_suppkey", o.alias("o")).where("o IS NOT NULL").select("s_suppkey", F.col("o.from").alias("low"), F.col("o.to").alias("high"))
 
 
-@query()
+_ROBOTS = """r AS (SELECT host, max(robots) AS robots FROM hosts GROUP BY host),
+    l AS (SELECT host, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT host, string_split_regex(robots, '\\r\\n|\\n|\\r') AS ls FROM r WHERE robots IS NOT NULL)),
+    p AS (SELECT host, i, lower(trim(split_part(line, ':', 1))) AS name, trim(substring(line, instr(line, ':') + 1)) AS value FROM l WHERE contains(line, ':')),
+    m AS (SELECT *, last_value(CASE WHEN name = 'user-agent' THEN value END IGNORE NULLS) OVER (PARTITION BY host ORDER BY i) AS agent FROM p),
+    d AS (SELECT host, max_by(CAST(trunc(TRY_CAST(value AS DOUBLE) * 1000) AS BIGINT), i) AS delay FROM m WHERE agent = '*' AND name = 'crawl-delay' AND TRY_CAST(value AS DOUBLE) IS NOT NULL GROUP BY host),
+    k AS (SELECT DISTINCT url, host, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)?', 1), ''), '/') AS path FROM crawl WHERE url IS NOT NULL),
+    x AS (SELECT k.url, k.host, coalesce(max(length(value)) FILTER (name = 'allow'), -1) AS allowed, coalesce(max(length(value)) FILTER (name = 'disallow'), -1) AS denied
+      FROM k LEFT JOIN m ON m.host = k.host AND agent = '*' AND name IN ('allow', 'disallow') AND value <> '' AND starts_with(path, value) GROUP BY k.url, k.host),
+    a AS (SELECT url, x.host, coalesce(delay, 400) AS delay_ms FROM x LEFT JOIN d ON d.host = x.host WHERE denied <= allowed)"""
+
+
+@query(f"WITH {_ROBOTS} SELECT url, host, delay_ms FROM a")
 def robots_decision(spark: SparkSession, root: str) -> DataFrame:
     """Every crawled URL that its host's rules let in, with the delay."""
     known = table(spark, root, "crawl").select("url", "host").where("url IS NOT NULL").distinct()
     return crawl.allowed(known, table(spark, root, "hosts")).select("url", "host", "delay_ms")
 
 
+@query("SELECT c_custkey, 'Notes of ' || c_name AS description, 1::BIGINT + len(list_filter(string_split_regex(lower(c_name), '\\W+'), lambda w: regexp_full_match(w, '[a-z]{3,}'))) AS desc_words FROM customer WHERE c_name IS NOT NULL")
+def meta_description(spark: SparkSession, root: str) -> DataFrame:
+    """Meta descriptions, read from pages made of customers' names, and their indexed words."""
+    page = F.concat(F.lit("<html><head><META content='Notes of "), "c_name", F.lit("' name=description><title>t</title></head><body>x</body>"))
+    pages = table(spark, root, "customer").where("c_name IS NOT NULL").select(F.col("c_custkey").alias("url"), page.alias("page"))
+    return corpus.document_stats(pages).select(F.col("url").alias("c_custkey"), "description", "desc_words")
+
+
+@query("SELECT p_partkey, p_name AS body FROM part")
+def gzip_body(spark: SparkSession, root: str) -> DataFrame:
+    """Bodies of responses, every second one of them packed, as text."""
+
+    @F.pandas_udf("binary")
+    def packed(key: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else gzip.compress(t.encode()) if k % 2 else t.encode() for k, t in zip(key, text, strict=True)])
+
+    return table(spark, root, "part").select("p_partkey", urls.body_of(packed("p_partkey", "p_name")).alias("body"))
+
+
+@query("SELECT count(*) AS n, true AS lettered FROM nation")
+def random_keys(spark: SparkSession, root: str) -> DataFrame:
+    """Random keys: as many different ones as rows, all of which begin with a letter."""
+    keys = stage(table(spark, root, "nation").select(urls.random_id().alias("k")), "keys")
+    return keys.agg(F.countDistinct("k").alias("n"), F.min(F.col("k").rlike("^[a-z]")).alias("lettered"))
+
+
 @query(f"SELECT url, {sql.title()} AS title, CAST(len({sql.tokens(sql.body_text())}) AS BIGINT) AS body_words FROM ({sql.PAGES})")
 def doc_word_stats(spark: SparkSession, root: str) -> DataFrame:
     return corpus.document_stats(_pages(spark, root)).select("url", "title", "body_words")
@@ -464,6 +604,24 @@ def inverted_index_pruned(spark: SparkSession, root: str) -> DataFrame:
     return index.packed_index(index.postings(_pages(spark, root), stemmed=False), min_postings=2)
 
 
+# Examples of the 1980 paper, and the two later rules.
+_STEMS = (
+    "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss "
+    "fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile "
+    "analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic "
+    "formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit "
+    "replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas "
+    "controll control roll roll archaeology archaeolog possibly possibl"
+).split()
+_STEM_ROWS = ", ".join(f"('{w}', '{x}')" for w, x in zip(_STEMS[::2], _STEMS[1::2], strict=True))
+
+
+@query(f"SELECT * FROM (VALUES {_STEM_ROWS}) t(word, stem)")
+def porter_stems(spark: SparkSession, root: str) -> DataFrame:
+    """Stems of the published examples."""
+    return spark.createDataFrame([(w,) for w in _STEMS[::2]], "word string").select("word", stem_udf("word").alias("stem"))
+
+
 @query()
 def inverted_index_stemmed(spark: SparkSession, root: str) -> DataFrame:
     return index.packed_index(index.postings(_pages(spark, root)))
@@ -575,6 +733,36 @@ def search_tfidf(spark: SparkSession, root: str) -> DataFrame:
     return out.select("url", "title", F.round("score", 4).alias("score"))
 
 
+_TWICE = _HITS.replace("'search', 'guide', 'stock'", "'search', 'guide'").replace("count(*) AS n FROM h", "count(*) * (CASE word WHEN 'search' THEN 2 ELSE 1 END) AS n FROM h")
+_TWICE = _TWICE.replace("sum(cnt * floor(64 / pow(4, k)))", "sum(cnt * floor(64 / pow(4, k)) * (CASE word WHEN 'search' THEN 2 ELSE 1 END))").replace("exp(sum(8 / (1 + ln(n)) * ln(w)))", "exp(sum((CASE word WHEN 'search' THEN 2 ELSE 1 END) * 8 / (1 + ln(n)) * ln(w)))")
+
+
+@query(f"WITH {_STATS}, {_TWICE} SELECT url, round(score, 4) AS score FROM scores")
+def search_repeated(spark: SparkSession, root: str) -> DataFrame:
+    """A query that repeats a term: all pages with any of them."""
+    words = search.query_terms("search guide search", stemmed=False)
+    out = search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words, limit=None)
+    return out.select("url", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_STATS}, {_HITS} SELECT url, title, description, round(score, 4) AS score FROM scores ORDER BY scores.score DESC, url LIMIT 10")
+def search_json_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the JSON form of a page of results."""
+    rows = F.from_json("json", "array<struct<url:string,title:string,description:string,score:double>>")
+    return search_json(spark, root).select(F.inline(rows)).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {_STATS}, {_HITS} SELECT url, round(score, 4) AS score FROM scores ORDER BY scores.score DESC, url LIMIT 10")
+def search_saved(spark: SparkSession, root: str) -> DataFrame:
+    """A search over postings that were saved in the order of words, of which only the terms' row groups are read."""
+    path = f"{staging_root(spark)}/saved-{uuid.uuid4().hex}"
+    index.save_postings(index.stored_postings(table(spark, root, "inv_index")), path)
+    drop_later(spark, path)
+    words = search.query_terms(LINE, stemmed=False)
+    out = search.ranked(spark.read.parquet(path), _stats(spark, root), words)
+    return out.select("url", F.round("score", 4).alias("score"))
+
+
 @query()
 def search_json(spark: SparkSession, root: str) -> DataFrame:
     words = search.query_terms(LINE, stemmed=False)
@@ -624,7 +812,7 @@ def crawl_replay(spark: SparkSession, root: str) -> DataFrame:
     return crawl.replay(seeds, pages, table(spark, root, "hosts"))
 
 
-@query()
+@query(f"WITH {_ROBOTS} SELECT url, host, CAST(coalesce(sum(delay_ms) OVER (PARTITION BY host ORDER BY url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms FROM a WHERE host IS NOT NULL")
 def crawl_schedule(spark: SparkSession, root: str) -> DataFrame:
     """When every allowed page of a host can be fetched, keeping the host's delay."""
     known = table(spark, root, "crawl").select("url", "host").where("url IS NOT NULL").distinct()

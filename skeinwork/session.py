@@ -83,7 +83,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width(df.schema)).alias("bytes")).write.option("compression", "zstd").parquet(path)
-    _drop_later(spark, path)
+    drop_later(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._extent = (seen.get["rows"], seen.get["bytes"] or 0)
     return out
@@ -113,7 +113,8 @@ def partitioned(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns).sortWithinPartitions(*columns).persist()
 
 
-def _drop_later(spark: SparkSession, path: str) -> None:
+def drop_later(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the driver's process ends."""
     if path.startswith("file://"):
         atexit.register(shutil.rmtree, path[len("file://") :], ignore_errors=True)
     elif os.sep in path and "://" not in path:

@@ -6,6 +6,7 @@ are lazy plans that prune files by key; writes are whole new versions, as suits
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,11 +124,20 @@ class Catalog:
     def tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary)
 
+    def sizes(self) -> DataFrame:
+        """``name``, ``n_rows``, ``n_bytes``, ``persistent`` of every table; sizes come from file statistics, not from the rows, where there are any."""
+        rows = []
+        for t in self.tables():
+            self.spark.sql(f"ANALYZE TABLE {self._name(t)} COMPUTE STATISTICS")
+            said = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {self._name(t)}").collect()}
+            found = re.findall(r"\d+", said.get("Statistics") or "")
+            size, n = (int(found[0]), int(found[1])) if len(found) > 1 else (0, 0)
+            rows.append((t, n, size, said.get("Type") in ("MANAGED", "EXTERNAL")))
+        return self.spark.createDataFrame(rows, "name string, n_rows bigint, n_bytes bigint, persistent boolean")
+
     def compact(self, table: str, keys: list[str], order: Column, temporary: str | None = None) -> None:
         """Rewrites a log table with only the last record of each key."""
         new = temporary or f"{table}__compacted"
         self.write(new, latest(self.table(table), keys, order), "overwrite")
         self.delete(table)
         self.rename(new, table)
-
-
