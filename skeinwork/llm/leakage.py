@@ -6,16 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.llm.words import pieces, plain, words_of
-from skeinwork.session import spread
+from skeinwork.llm.words import MIX, distinct, pieces, plain, scramble, words_of
+from skeinwork.operators.joins import HOT_PARTS, small
+from skeinwork.session import extent, spread, stage
 
 RUN, SHARE_PERCENT = 10, 30
-#: Characters of evaluation text that travel to the executors at a time; more text is searched in several passes.
-BLOCK_CHARS = 8_000_000
+#: Characters of evaluation text that are sent to every task, at most. More of it is joined with the corpus by its runs of words.
+SENT_CHARS = 8_000_000
 #: Matches that are held at a time within a task.
 HELD = 4_000_000
 
@@ -147,9 +149,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     the document has too), ``item_words``, ``share``, and the longest verbatim match: ``match_words``, ``match_in_item`` and
     ``match_in_doc`` (ordinals of its first word). Tags and entities of documents are taken out first.
 
-    The items are the small side: their text is sent to the executors in blocks of at most ``BLOCK_CHARS`` characters
-    (one pass over the corpus each), so what is sent is bounded whatever the number of items. Shards are Arrow batches, or parts of large ones; no
-    shuffle takes place.
+    Items of up to ``SENT_CHARS`` characters, which are counted first, are sent to all tasks: shards are Arrow batches, or parts of large
+    ones, and no shuffle takes place. With more items, both sides are cut to runs of ``run`` words, which meet by a shuffle of
+    their hashes, rows of frequent runs apart; whole texts travel only for pairs that share a run. Neither the driver nor any task holds
+    all items then. Either way the corpus is read once for all items, and the rows are the same.
 
     Defined results: null and empty texts match nothing; items with less than ``run`` words match nothing; repeated
     documents and repeated items each give their own rows; an empty table on either side gives no rows.
@@ -160,39 +163,80 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
         *[T.StructField(n, T.LongType()) for n in ("match_words", "match_in_item", "match_in_doc")],
     ]
     schema = T.StructType(fields)
-    sized = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     docs = documents.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")).where("t IS NOT NULL")
-
-    def passes(tests: TestSet) -> DataFrame:
-        def shard(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            number = tests.vocabulary.get
-            for batch in (part for b in batches for part in pieces(b, 1, 10_000)):
-                lens, words = np.zeros(batch.num_rows, np.int64), []
-                for k, t in enumerate(batch.column(1).to_pylist()):
-                    w = words_of(plain(t))
-                    lens[k] = len(w)
-                    words += [number(x, 0) for x in w]
-                for found in search_shard(np.array(words, np.int64), lens, tests, run):
-                    text, item, covered, size, in_item, in_doc = summarize(*found, run)
-                    total = tests.sizes[item]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(text)), *map(pa.array, (tests.ids[item], covered, total, covered / total, size, in_item, in_doc))],
-                        names=schema.names,
-                    )
-
-        return spread(docs).mapInArrow(shard, schema)
-
-    out = None
-    block: list[tuple[int, str]] = []
-    chars = 0
-    for row in sized.toLocalIterator():
-        if block and chars + len(row.t) > BLOCK_CHARS:
-            part = passes(TestSet(block))
-            out, block, chars = part if out is None else out.unionByName(part), [], 0
-        block.append((row.i, row.t))
-        chars += len(row.t)
-    part = passes(TestSet(block))
-    return part if out is None else out.unionByName(part)
+    asked = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where(F.length("t") >= 2 * run - 1)
+    chars = asked.agg(F.sum(F.length("t"))).first()[0] or 0
+    if chars > SENT_CHARS:
+        return _by_runs(docs, asked, run, schema)
+    tests = TestSet([(r.i, r.t) for r in asked.collect()])
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in (part for b in batches for part in pieces(b, 1, 10_000)):
+            yield from _matches(batch.column(0), batch.column(1).to_pylist(), tests, run, schema)
+
+    return spread(docs).mapInArrow(shard, schema)
+
+
+def _matches(ids: pa.Array, texts: list[str], tests: TestSet, run: int, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    number = tests.vocabulary.get
+    lens, words = np.zeros(len(texts), np.int64), []
+    for k, t in enumerate(texts):
+        w = words_of(plain(t))
+        lens[k] = len(w)
+        words += [number(x, 0) for x in w]
+    for found in search_shard(np.array(words, np.int64), lens, tests, run):
+        text, item, covered, size, in_item, in_doc = summarize(*found, run)
+        total = tests.sizes[item]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(text)), *map(pa.array, (tests.ids[item], covered, total, covered / total, size, in_item, in_doc))], names=schema.names)
+
+
+def _runs(df: DataFrame, run: int, tags: bool) -> DataFrame:
+    """``n``, ``h``: the distinct hashes of all runs of ``run`` words of each row ``n`` (with its text ``t``)."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in (part for whole in batches for part in pieces(whole, 1, 2000)):
+            rows, out = [], []
+            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(plain(t) if tags else t)
+                if len(w) >= run:
+                    for x in set(w):
+                        if x not in known:
+                            known[x] = xxhash.xxh3_64_intdigest(x)
+                    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+                    roll = np.zeros(len(h) - run + 1, np.uint64)
+                    for k in range(run):
+                        roll = roll * MIX + h[k : k + len(roll)]
+                    roll = distinct(scramble(roll))
+                    rows.append(np.full(len(roll), n, np.int64))
+                    out.append(roll.view(np.int64))
+                if len(known) > 2_000_000:
+                    known.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(out))], names=["n", "h"])
+
+    return df.mapInArrow(hashes, "n bigint, h bigint")
+
+
+def _by_runs(docs: DataFrame, items: DataFrame, run: int, schema: T.StructType) -> DataFrame:
+    """``leaks`` for items of any number: pairs that share a run, by a shuffle of hashes, then the search within each document."""
+    docs = stage(spread(docs).withColumn("n", F.monotonically_increasing_id()), "documents")
+    items = stage(items.withColumn("n", F.monotonically_increasing_id()), "items")
+    asked = stage(_runs(items.select("n", "t"), run, False), "item-runs")
+    # only runs that some item has go on; frequent ones are met apart from the others
+    had = stage(_runs(docs.select("n", "t"), run, True).join(small(asked.select("h").distinct(), asked), "h", "left_semi").select("h", F.col("n").alias("d")), "document-runs")
+    counts = stage(had.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "runs")
+    hot = F.broadcast(counts.where(F.col("c") * HOT_PARTS >= F.lit(extent(had)[0])).select("h"))
+    pairs = had.join(hot, "h").join(small(asked.join(hot, "h"), asked), "h").unionByName(had.join(hot, "h", "left_anti").join(asked, "h"))
+    pairs = stage(pairs.select("d", "n").distinct(), "pairs")
+    both = pairs.join(items.select("n", "i", F.col("t").alias("item")), "n").join(docs.select(F.col("n").alias("d"), F.col("d").alias("doc"), "t"), "d")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in (part for whole in batches for part in pieces(whole, 3, 200)):
+            for k, (i, item, t) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                yield from _matches(b.column(0).slice(k, 1), [t], TestSet([(i, item)]), run, schema)
+
+    return both.select("doc", "i", "item", "t").mapInArrow(search, schema)
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:

@@ -169,6 +169,20 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("fill", F.col("tokens") / (F.col("containers") * size))
 
 
+def p8_checks(spark: SparkSession, root: str) -> DataFrame:
+    """What any packing has to hold, for each capacity: documents and tokens placed, containers that are too full, documents that were split
+    though they fit, and documents whose pieces do not follow one another."""
+    out, capacities = _packed(spark, root)
+    out = stage(out, "packing")
+    size = F.create_map(*[F.lit(int(x)).cast("bigint") for kv in capacities.items() for x in kv])[F.col("spec_id")]
+    full = out.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("used")).groupBy("spec_id").agg(F.count(F.when(F.col("used") > size, 1)).alias("too_full"))
+    ordered = F.array_sort(F.collect_list(F.struct("first_token", "n_tokens")))
+    follows = F.aggregate(ordered, F.lit(0).cast("bigint"), lambda at, x: F.when(at == x.first_token, at + x.n_tokens).otherwise(F.lit(-1).cast("bigint")))
+    docs = out.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"), follows.alias("end"))
+    docs = docs.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.count(F.when((F.col("n") <= size) & (F.col("parts") > 1), 1)).alias("split_though_fit"), F.count(F.when(F.col("end") != F.col("n"), 1)).alias("broken"))
+    return docs.join(full, "spec_id")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that had to be split, for each capacity."""
     return _packed(spark, root)[0].where("n_parts > 1 AND part = 0").select("spec_id", "doc_id").distinct()
@@ -203,6 +217,12 @@ def p10_repetition(spark: SparkSession, root: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if "share" in c else F.col(c) for c in out.columns])
 
 
+def p10_words(spark: SparkSession, root: str) -> DataFrame:
+    """Words of every document that lie in repeated runs of three, six and ten words."""
+    out = repetition.repetition(table(spark, root, "documents"), "doc_id", "text")
+    return out.select("doc_id", "n_words", *[f"repeated_words_{n}" for n in repetition.LENGTHS])
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents of which at least 30 % of the words lie in repeated runs of six."""
     out = repetition.repetition(table(spark, root, "documents"), "doc_id", "text")
@@ -211,7 +231,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": nearcopies.p1_found, "p1_groups": nearcopies.p1_groups, "p2_found": p2_found, "p2_scores": p2_scores, "p5_found": p5_found, "p5_crawl_bodies": p5_crawl_bodies,
-    "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p7_leading": p7_leading, "p8_found": p8_found, "p8_packing": p8_packing,
+    "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_scores": p7_scores, "p7_leading": p7_leading, "p8_found": p8_found, "p8_packing": p8_packing, "p8_checks": p8_checks, "p10_words": p10_words,
     "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_clean": p9_clean, "p10_found": p10_found, "p10_repetition": p10_repetition,
 }
 
@@ -235,7 +255,75 @@ _RUNS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+
     d AS (SELECT doc_id, n, p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY p) AS o FROM k) WHERE o > 1),
     c AS (SELECT doc_id, n, least(6, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, 6)) AS gain FROM d)"""
 
+_COUNTED = _WORDS + """, tt AS (SELECT url, word, count(*) AS ft FROM (SELECT url, unnest(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS word
+      FROM (SELECT DISTINCT url, title FROM doc_word_count WHERE url IS NOT NULL AND title IS NOT NULL)) GROUP BY ALL),
+    tf AS (SELECT word, url, coalesce(f1, 0) + coalesce(f3, 0) + coalesce(ft, 0) AS tf FROM u FULL JOIN tt USING (word, url)), f AS (SELECT * FROM tf WHERE tf > 0 AND url IS NOT NULL),
+    w AS (SELECT word, count(*) AS n_docs, sum(tf) AS total FROM f GROUP BY word), d AS (SELECT url, sum(tf) AS len FROM f GROUP BY url), c AS (SELECT count(*) AS n, sum(len) AS len FROM d),
+    x AS (SELECT url, word, tf, n_docs, tf * log2(1 + (c.len / c.n) / d.len) AS t, total / c.n AS lam FROM f JOIN w USING (word) JOIN d USING (url), c),
+    y AS (SELECT url, word, tf, n_docs, (log2(1 + lam) + t * log2((1 + lam) / lam)) / (t + 1) AS score FROM x),
+    z AS (SELECT url, word, CAST(tf AS BIGINT) AS tf, n_docs, row_number() OVER (PARTITION BY url ORDER BY round(score, 9) DESC, word) AS place, round(score, 6) AS score FROM y)"""
+
+
+def _repeated(n: int) -> str:
+    """Words of a document in runs of n that began at an earlier word."""
+    return f"""(SELECT doc_id, sum(gain) AS r FROM (SELECT doc_id, least({n}, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p) - p, {n})) AS gain FROM
+        (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id, h ORDER BY p) AS o FROM (SELECT doc_id, p, md5(array_to_string(ws[p : p + {n - 1}], ' ')) AS h
+        FROM (SELECT doc_id, ws, generate_subscripts(ws, 1) AS p FROM w) WHERE p + {n - 1} <= len(ws))) WHERE o > 1) GROUP BY doc_id)"""
+
+
+# Named entities that stand for a letter, sign or blank of the texts; numbered ones are left to the tables' own texts.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&eacute;", "é"), ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ntilde;", "ñ"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&rsquo;", "’"), ("&amp;", "&"))
+
+
+def _plain(text: str) -> str:
+    text = f"regexp_replace({text}, '<!--(?s:.*?)-->|</?[A-Za-z!?][^>]*>', ' ', 'g')"
+    for name, char in _ENTITIES:
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
+_LEAKS = f"""dw AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower({_plain("text")}), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+    iw AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+    dr AS (SELECT d, p, array_to_string(ws[p : p + 9], ' ') AS r FROM (SELECT d, ws, generate_subscripts(ws, 1) AS p FROM dw) WHERE p + 9 <= len(ws)),
+    ir AS (SELECT i, p, array_to_string(ws[p : p + 9], ' ') AS r FROM (SELECT i, ws, generate_subscripts(ws, 1) AS p FROM iw) WHERE p + 9 <= len(ws)),
+    hit AS (SELECT d, i, ir.p AS q, dr.p AS p FROM dr JOIN ir USING (r)),
+    cov AS (SELECT d, i, sum(gain) AS covered FROM (SELECT d, i, least(10, coalesce(lead(q) OVER (PARTITION BY d, i ORDER BY q) - q, 10)) AS gain FROM (SELECT DISTINCT d, i, q FROM hit)) GROUP BY d, i),
+    run AS (SELECT d, i, min(q) AS q, min(p) AS p, count(*) + 9 AS size FROM (SELECT *, q - row_number() OVER (PARTITION BY d, i, p - q ORDER BY q) AS k FROM hit) GROUP BY d, i, p - q, k),
+    best AS (SELECT d, i, arg_min(struct_pack(size := size, q := q, p := p), struct_pack(a := -size, b := p)) AS b FROM run GROUP BY d, i),
+    pair AS (SELECT doc_id, item_id, CAST(covered AS BIGINT) AS covered_words, len(iw.ws) AS item_words, covered / len(iw.ws) AS share, b.size AS match_words, b.q - 1 AS match_in_item, b.p - 1 AS match_in_doc
+      FROM cov JOIN best USING (d, i) JOIN dw USING (d) JOIN iw USING (i)),
+    found AS (SELECT DISTINCT doc_id, item_id FROM pair WHERE covered_words * 100 >= item_words * {leakage.SHARE_PERCENT})"""
+
+_NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|</?[A-Za-z!?][^>]*>"
+
+
+def _page_words() -> str:
+    text = f"regexp_replace(page, '{_NOISE}', ' ', 'g')"
+    for name, char in _ENTITIES:
+        text = f"replace({text}, '{name}', '{char}')"
+    return f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+
+
+_VERSIONS = f"""pw AS (SELECT DISTINCT url_hash AS id, {_page_words()} AS ws FROM crawl WHERE page IS NOT NULL AND url_hash IS NOT NULL),
+    ps AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS seqs FROM pw WHERE len(ws) >= {nearcopies.WORDS}),
+    pc AS (SELECT min(id) AS rep, seqs FROM ps GROUP BY seqs), members AS (SELECT DISTINCT id, rep FROM ps JOIN pc USING (seqs)),
+    sh AS (SELECT rep, unnest(seqs) AS s, len(seqs) AS n FROM pc),
+    links AS (SELECT a.rep AS a, b.rep AS b FROM sh a JOIN sh b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= {nearcopies.ALIKE} * (a.n + b.n - count(*))),
+    copies AS (SELECT id, rep FROM members WHERE id <> rep), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links)"""
+
 SQL = {
+    "p1_found": f"WITH {_VERSIONS} SELECT DISTINCT least(x, y) AS url_hash_a, greatest(x, y) AS url_hash_b FROM (SELECT a AS x, b AS y FROM links UNION ALL SELECT id, rep FROM copies UNION ALL SELECT id, b FROM copies JOIN ways ON a = rep) WHERE x <> y",
+    "p1_groups": f"WITH RECURSIVE {_VERSIONS}, reach(n, m) AS (SELECT rep, rep FROM pc UNION SELECT n, b FROM reach JOIN ways ON a = m), g AS (SELECT n, min(m) AS group_id FROM reach GROUP BY n), d AS (SELECT a, count(*) AS n_links FROM ways GROUP BY a) SELECT id AS url_hash, rep AS representative, group_id, coalesce(n_links, 0) AS n_links FROM members JOIN g ON n = rep LEFT JOIN d ON a = rep",
+    "p7_scores": f"WITH {_COUNTED} SELECT url, word, place, tf, n_docs, score FROM z",
+    "p7_leading": f"WITH {_COUNTED} SELECT url, word, place, tf, n_docs, score FROM z WHERE place <= {TOP_TERMS}",
+    "p8_checks": f"SELECT spec_id, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, 0::BIGINT AS too_full, 0::BIGINT AS split_though_fit, 0::BIGINT AS broken FROM (SELECT doc_id, {_TOKENS} AS n FROM documents WHERE text IS NOT NULL), pack_specs WHERE n > 0 GROUP BY spec_id",
+    "p9_leaks": f"WITH {_LEAKS} SELECT * FROM pair",
+    "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM found",
+    "p9_clean": f"WITH {_LEAKS} SELECT doc_id, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found WHERE doc_id IS NOT NULL)",
+    "p10_words": "WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), []) AS ws FROM documents) SELECT doc_id, len(ws) AS n_words, "
+    + ", ".join(f"CAST(coalesce(r{n}.r, 0) AS BIGINT) AS repeated_words_{n}" for n in repetition.LENGTHS)
+    + " FROM w "
+    + " ".join(f"LEFT JOIN {_repeated(n)} r{n} USING (doc_id)" for n in repetition.LENGTHS),
     "p4_found": f"WITH {_CANDIDATES} SELECT word, url FROM y WHERE (rank_rank - 1) * {TOP_PARTS} <= n_items AND (rank_count - 1) * {TOP_PARTS} <= n_items",
     "p4_ranking": f"WITH {_CANDIDATES} SELECT word, url, row_number() OVER (PARTITION BY word ORDER BY median_rank, mean_rank, url) AS position, median_rank, mean_rank, rank_rank, rank_count, n_items FROM y",
     "p7_found": f"WITH {_WORDS}, n AS (SELECT word, count(*) AS n FROM u GROUP BY word) SELECT url, word FROM u JOIN n USING (word) WHERE f3 >= {MIN_COUNT} AND n BETWEEN {MIN_URLS} AND {MAX_URLS}",

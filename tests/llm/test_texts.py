@@ -109,7 +109,7 @@ def test_leak_edges(spark, monkeypatch):
     args = ("doc_id", "text", "item_id", "text")
     got = sorted((r.doc_id or 0, r.item_id, r.match_words) for r in leakage.leaks(docs, items, *args).collect())
     assert got == [(0, 7, 30), (0, 8, 30), (1, 7, 30), (1, 7, 30), (1, 8, 30), (1, 8, 30), (4, 7, 30), (4, 8, 30)]
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 10)
+    monkeypatch.setattr(leakage, "SENT_CHARS", 10)
     monkeypatch.setattr(leakage, "HELD", 50)
     assert sorted((r.doc_id or 0, r.item_id, r.match_words) for r in leakage.leaks(docs, items, *args).collect()) == got
     assert leakage.leaks(docs.limit(0), items, *args).count() == 0 and leakage.leaks(docs, items.limit(0), *args).count() == 0
