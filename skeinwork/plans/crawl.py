@@ -26,13 +26,13 @@ def allowed(urls: DataFrame, hosts: DataFrame) -> DataFrame:
     return rows.where("delay_ms IS NOT NULL").drop("robots")
 
 
-def frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, blocked: Sequence[str] = ()) -> DataFrame:
+def frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, blocked: Sequence[str] = (), max_url: int | None = MAX_URL) -> DataFrame:
     """``url``, ``depth``: every page within reach of ``seeds`` (``url``) along ``links`` (``src``, ``dst``), with its least number of steps.
 
     Breadth first, one round for each depth: the newest pages meet their links (partitioned once), known pages are taken out by an anti join,
-    and each round is written to the shared folder. Long URLs and URLs with a piece of ``blocked`` in them are not followed.
+    and each round is written to the shared folder. URLs longer than ``max_url`` (None: none) and URLs with a piece of ``blocked`` in them are not followed.
     """
-    fit = F.length("url") <= MAX_URL
+    fit = F.length("url") <= max_url if max_url is not None else F.lit(True)
     for piece in blocked:
         fit &= ~F.col("url").contains(piece)
     links = partitioned(stage(links.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), "links"), "src")
@@ -48,7 +48,7 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int = MAX_DEPTH, blo
     return seen
 
 
-def replay(seeds: DataFrame, pages: DataFrame, hosts: DataFrame, max_depth: int = MAX_DEPTH, blocked: Sequence[str] = ()) -> DataFrame:
+def replay(seeds: DataFrame, pages: DataFrame, hosts: DataFrame, max_depth: int = MAX_DEPTH, blocked: Sequence[str] = (), max_url: int | None = MAX_URL) -> DataFrame:
     """A crawl in rounds over known fetch results: ``url``, ``depth``, ``delay_ms``, ``canonical_url`` of every URL that gets fetched.
 
     ``pages``: ``url``, ``host``, ``response_code``, ``lang``, ``page``. A round takes the frontier's new URLs that the robots rules allow,
@@ -56,7 +56,7 @@ def replay(seeds: DataFrame, pages: DataFrame, hosts: DataFrame, max_depth: int
     that equals one fetched before, byte by byte, names that one's URL as ``canonical_url`` and its links are not followed; within
     a round the least URL goes first. Links are followed in the form in which ``pages`` has their URL.
     """
-    fit = F.length("url") <= MAX_URL
+    fit = F.length("url") <= max_url if max_url is not None else F.lit(True)
     for piece in blocked:
         fit &= ~F.col("url").contains(piece)
     known = pages.where("url IS NOT NULL").groupBy("url").agg(F.max(F.struct("host", "response_code", "lang", F.sha2("page", 256).alias("digest"))).alias("f"))

@@ -704,10 +704,13 @@ def search_ranked(spark: SparkSession, root: str) -> DataFrame:
     return out.select("url", "title", "description", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {_STATS}, {_HITS} SELECT url, round(score, 4) AS score FROM scores")
+_ALL_HITS = _HITS.replace(" ORDER BY weight DESC, url LIMIT 5000", "")
+
+
+@query(f"WITH {_STATS}, {_ALL_HITS} SELECT url, round(score, 4) AS score FROM scores")
 def search_scores(spark: SparkSession, root: str) -> DataFrame:
     words = search.query_terms(LINE, stemmed=False)
-    out = search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words, limit=None)
+    out = search.ranked(index.stored_postings(table(spark, root, "inv_index"), words), _stats(spark, root), words, limit=None, candidates=None)
     return out.select("url", F.round("score", 4).alias("score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import STOP_WORDS, stem
+from skeinwork.operators.joins import small
 from skeinwork.session import stage
 
 # Fixed values of the two ranking formulas.
@@ -28,12 +29,12 @@ def _terms(spark: SparkSession, words: list[str]) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(w, words.count(w)) for w in sorted(set(words))], "word string, times int"))
 
 
-def ranked(postings: DataFrame, stats: DataFrame, words: list[str], bound: float | None = None, limit: int | None = LIMIT) -> DataFrame:
+def ranked(postings: DataFrame, stats: DataFrame, words: list[str], bound: float | None = None, limit: int | None = LIMIT, candidates: int | None = CANDIDATES) -> DataFrame:
     """Pages with any of the terms by the product of their terms' weights: ``url``, ``title``, ``description``, ``score``.
 
     With N postings of a term, its weight on a page is (16 + sum over fields of count / sqrt(1 + words of the field)) to the power
-    8 / (1 + ln N); a repeated term multiplies again and doubles N. Up to 5000 pages take part, by counts weighted 64, 16, 4
-    for the fields that the term has. ``stats``: ``url``, ``title``, ``description``, ``desc_words``, ``body_words``, one row a page. ``bound``: only
+    8 / (1 + ln N); a repeated term multiplies again and doubles N. Up to ``candidates`` pages take part (None: all), by counts weighted 64,
+    16, 4 for the fields that the term has. ``stats``: ``url``, ``title``, ``description``, ``desc_words``, ``body_words``, one row a page. ``bound``: only
     scores below it (the last score of a page of results leads to the next one). Ties come in the order of urls.
     """
     spark = postings.sparkSession
@@ -45,11 +46,13 @@ def ranked(postings: DataFrame, stats: DataFrame, words: list[str], bound: float
     terms = F.broadcast(fields.join(sizes, "word"))
     hits = hits.join(terms, "word")
     mult = F.lit(FIRST_WEIGHT) / F.pow(F.lit(WEIGHT_STEP), F.array_position("fields", F.col("field")) - 1)
-    heavy = hits.groupBy("url").agg(F.sum(F.floor(mult) * F.col("cnt") * F.col("times")).alias("weight")).orderBy(F.desc("weight"), "url").limit(CANDIDATES).select("url")
-    # at most CANDIDATES rows
-    docs = stats.join(F.broadcast(heavy), "url")
+    docs = stats
+    if candidates is not None:
+        heavy = hits.groupBy("url").agg(F.sum(F.floor(mult) * F.col("cnt") * F.col("times")).alias("weight")).orderBy(F.desc("weight"), "url").limit(candidates).select("url")
+        # at most `candidates` rows
+        docs = small(stats.join(small(heavy), "url"))
     words_of_field = F.when(F.col("field") == 2, F.col("desc_words")).when(F.col("field") == 3, F.col("body_words")).otherwise(0)
-    parts = hits.join(F.broadcast(docs), "url").withColumn("w", F.col("cnt") / F.sqrt(1 + F.coalesce(words_of_field, F.lit(0))))
+    parts = hits.join(docs, "url").withColumn("w", F.col("cnt") / F.sqrt(1 + F.coalesce(words_of_field, F.lit(0))))
     weights = parts.groupBy("url", "word", "n", "times", "title", "description").agg((BASE + F.sum("w")).alias("w"))
     logs = F.col("times") * POWER / (1 + F.log("n")) * F.log("w")
     out = weights.groupBy("url").agg(F.first("title").alias("title"), F.first("description").alias("description"), F.exp(F.sum(logs)).alias("score"))
