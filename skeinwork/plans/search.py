@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import STOP_WORDS, stem
-from skeinwork.operators.joins import small
 from skeinwork.session import stage
 
 # Fixed values of the two ranking formulas.
@@ -50,7 +49,7 @@ def ranked(postings: DataFrame, stats: DataFrame, words: list[str], bound: float
     if candidates is not None:
         heavy = hits.groupBy("url").agg(F.sum(F.floor(mult) * F.col("cnt") * F.col("times")).alias("weight")).orderBy(F.desc("weight"), "url").limit(candidates).select("url")
         # at most `candidates` rows
-        docs = small(stats.join(small(heavy), "url"))
+        docs = F.broadcast(stats.join(F.broadcast(heavy), "url"))
     words_of_field = F.when(F.col("field") == 2, F.col("desc_words")).when(F.col("field") == 3, F.col("body_words")).otherwise(0)
     parts = hits.join(docs, "url").withColumn("w", F.col("cnt") / F.sqrt(1 + F.coalesce(words_of_field, F.lit(0))))
     weights = parts.groupBy("url", "word", "n", "times", "title", "description").agg((BASE + F.sum("w")).alias("w"))
